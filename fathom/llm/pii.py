@@ -1,0 +1,160 @@
+"""Personal data in texts: spans by regular expressions, confirmed by checksums, scored by the words around them."""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+from typing import NamedTuple
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .common import table
+
+#: Characters before and after a span in which context words count, and what one adds or takes.
+CONTEXT, BONUS = 48, 0.2
+MIN_SCORE = 0.5
+
+_IBAN = {"AD": 24, "AE": 23, "AT": 20, "BE": 16, "BG": 22, "CH": 21, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "EE": 20, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "GR": 27, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IS": 26, "IT": 27, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "MC": 27, "MT": 31, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "RO": 24, "SA": 24, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "TR": 26}
+
+
+def luhn(digits: str) -> bool:
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        v = int(c)
+        total += v if i % 2 == 0 else 2 * v - 9 * (v > 4)
+    return total % 10 == 0
+
+
+def mod97(iban: str) -> bool:
+    iban = iban.replace(" ", "")
+    return len(iban) == _IBAN.get(iban[:2]) and int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
+
+
+def _card(span: str) -> bool:
+    d = re.sub(r"\D", "", span)
+    return len(set(d)) > 1 and luhn(d)
+
+
+class Kind(NamedTuple):
+    name: str
+    pattern: str
+    #: Of a span that its check confirms, or that has none.
+    score: float
+    checked: bool
+    context: str
+
+
+#: In order of precedence where they overlap.  Email is found from its @ instead.
+KINDS = (
+    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])", 0.9, True, r"iban|bank|konto|account|compte|cuenta"),
+    Kind("credit_card", r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w-])", 0.8, True, r"card|visa|master|amex|credit|karte|carte|tarjeta|pay"),
+    Kind("us_ssn", r"(?<![\w-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\w-])", 0.6, False, r"ssn|social|security"),
+    Kind("ip_address", r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\w|\.\d)", 0.6, False, r"ip|host|server|client|login"),
+    Kind("phone", r"(?<![\w+(])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\w]|-\d)", 0.6, False, r"phone|tel|call|mobile|fax|cell|ruf|appel|llam"),
+)
+_EMAIL_CONTEXT = r"mail|contact|write|kontakt|contacto"
+#: Words that make a number something else.
+_AGAINST = {"ip_address": r"version|release|section|chapter|v\.", "credit_card": r"isbn|order no|tracking|serial", "phone": r"isbn|version|serial", "us_ssn": r"isbn|part no|serial"}
+
+
+class Span(NamedTuple):
+    kind: str
+    begin: int
+    end: int
+    score: float
+    checked: bool
+
+
+class Finder:
+    def __init__(self, min_score: float = MIN_SCORE):
+        self.min_score = min_score
+        self.kinds = [(k, re.compile(k.pattern, re.ASCII), re.compile(rf"(?i)\b(?:{k.context})"), re.compile(rf"(?i)\b(?:{_AGAINST[k.name]})") if k.name in _AGAINST else None) for k in KINDS]
+        self.left = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,63})\Z", re.ASCII)
+        self.right = re.compile(r"(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,62})\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])", re.ASCII)
+        self.email_context = re.compile(rf"(?i)\b(?:{_EMAIL_CONTEXT})")
+
+    def _around(self, text: str, a: int, b: int) -> str:
+        return text[max(0, a - CONTEXT) : a] + "\0" + text[b : b + CONTEXT]
+
+    def find(self, text: str | None) -> list[Span]:
+        if not text:
+            return []
+        found: list[tuple[int, Span]] = []
+        at = text.find("@")
+        while at >= 0:
+            left = self.left.search(text, max(0, at - 64), at)
+            right = self.right.match(text, at + 1)
+            if left and right and ".." not in left[0] and not left[0].endswith("."):
+                a, b = left.start(), right.end()
+                score = 0.8 + BONUS * bool(self.email_context.search(self._around(text, a, b)))
+                found.append((-1, Span("email", a, b, min(1.0, score), False)))
+            at = text.find("@", at + 1)
+        for i, (k, pattern, context, against) in enumerate(self.kinds):
+            for m in pattern.finditer(text):
+                a, b = m.span()
+                if k.name == "iban":
+                    b = self._iban_end(text, a, b)
+                    if not b:
+                        continue
+                if k.name == "credit_card" and not _card(m[0]):
+                    continue
+                around = self._around(text, a, b)
+                score = k.score + BONUS * bool(context.search(around)) - BONUS * bool(against and against.search(around))
+                found.append((i, Span(k.name, a, b, min(1.0, round(score, 3)), k.checked)))
+        out: list[Span] = []
+        for _, s in sorted(found, key=lambda x: (x[0], x[1].begin)):
+            if s.score >= self.min_score and all(s.end <= o.begin or s.begin >= o.end for o in out):
+                out.append(s)
+        return sorted(out, key=lambda s: s.begin)
+
+    @staticmethod
+    def _iban_end(text: str, a: int, b: int) -> int:
+        """Where the IBAN that begins at a ends, by its country's length; 0 if its check digits are wrong."""
+        need = _IBAN.get(text[a : a + 2], 0)
+        end = a
+        while need and end < b:
+            need -= text[end] != " "
+            end += 1
+        return end if not need and end > a and mod97(text[a:end]) and not text[end : end + 1].isalnum() else 0
+
+
+def _find(min_score: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finder = Finder(min_score)
+        for b in batches:
+            rows = [(k, s) for k, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True) for s in finder.find(text)]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([k for k, _ in rows], pa.int64()),
+                    pa.array([s.kind for _, s in rows], pa.string()),
+                    pa.array([s.begin for _, s in rows], pa.int64()),
+                    pa.array([s.end for _, s in rows], pa.int64()),
+                    pa.array([s.score for _, s in rows], pa.float64()),
+                    pa.array([s.checked for _, s in rows], pa.bool_()),
+                ],
+                ["doc_id", "kind", "begin", "end", "score", "checked"],
+            )
+
+    return run
+
+
+def find_pii(docs: DataFrame, *, min_score: float = MIN_SCORE) -> DataFrame:
+    """(doc_id, kind, begin, end, score, checked) for each span of personal data in docs (doc_id, text).
+
+    Regular expressions propose spans over the whole text.  Cards must pass the Luhn
+    check and IBANs the length of their country and mod 97 (checked is then true),
+    or they are dropped.  Context words within 48 characters raise or lower the
+    score by 0.2; spans below min_score are dropped; of overlapping spans the kind
+    with a checksum wins.  Texts without a digit or @ are passed over in the JVM.
+
+    begin and end count characters.  Null and empty texts have no spans; a null
+    doc_id stays null; repeated rows give repeated spans; other columns are ignored.
+    """
+    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.col("text").rlike("[0-9@]"))
+    return some.mapInArrow(_find(min_score), "doc_id long, kind string, begin long, end long, score double, checked boolean")
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(table(spark, sf_dir, "documents"))

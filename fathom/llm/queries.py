@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import linededup
+from . import hyperminhash, langid, linededup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_dedup": linededup.op2_line_dedup,
+    "op8_hyperminhash": hyperminhash.op8_hyperminhash,
+    "op10_language_id": langid.op10_language_id,
 }
 
 SQL: dict[str, str] = {}
