@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hyperminhash, langid, linededup
+from . import hyperminhash, langid, linededup, packing, pii, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secret_scan": secrets.op1_secret_scan,
     "op2_line_dedup": linededup.op2_line_dedup,
+    "op3_best_fit_packing": packing.op3_best_fit_packing,
+    "op6_pii": pii.op6_pii,
     "op8_hyperminhash": hyperminhash.op8_hyperminhash,
     "op10_language_id": langid.op10_language_id,
 }
