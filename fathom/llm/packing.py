@@ -72,21 +72,23 @@ def _match(g: pa.Table, round_: int, capacity: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["kind", "doc_id", "piece", "bin", "size", "at", "round"])
 
 
-def _ranges(waiting: dict[int, int], gaps: dict[int, int], rows: int) -> list[tuple[int, int, int]]:
-    """(least size, greatest size, parts) of ranges of sizes with about so many rows each, most sizes first.
+def _ranges(waiting: dict[int, int], gaps: dict[int, int], rows: int) -> list[tuple[int, int]]:
+    """(greatest size, parts) of ranges of sizes that cover all gaps, with about so many rows in a part.
 
-    A piece goes to the first range, of its own and those above, that has a gap as
-    large as it; a single size with too many rows has several parts.
+    A piece belongs to the first range with a gap as large as it, and counts there.
     """
-    out: list[tuple[int, int, int]] = []
-    sizes = sorted({*waiting, *gaps})
-    low, n = None, 0
-    for k, s in enumerate(sizes):
-        low = s if low is None else low
-        n += waiting.get(s, 0) + gaps.get(s, 0)
-        if n >= rows or k == len(sizes) - 1:
-            out.append((low, s, max(1, -(-n // (2 * rows)))))
-            low, n = None, 0
+    out: list[tuple[int, int]] = []
+    pieces = sorted(waiting.items())
+    k, n = 0, 0
+    sizes = sorted(gaps)
+    for s in sizes:
+        n += gaps[s]
+        while k < len(pieces) and pieces[k][0] <= s:
+            n += pieces[k][1]
+            k += 1
+        if n >= rows or s == sizes[-1]:
+            out.append((s, max(1, round(n / rows))))
+            n = 0
     return out
 
 
@@ -125,7 +127,7 @@ def pack(docs: DataFrame, *, capacity: int = CAPACITY, sweep_rows: int = SWEEP_R
     n_bins = whole.count()
     done = [whole.select("doc_id", "piece", F.lit(None).cast("long").alias("bin"), F.lit(0).alias("at"), "size")] if n_bins else []
     state = state.filter(F.col("size") < capacity)
-    next_bin, round_ = 0, 0
+    next_bin, round_, before = 0, 0, 0
     while True:
         hist = state.filter(F.col("kind") != PLACED).groupBy("kind", "size").count().collect()
         waiting = {r["size"]: r["count"] for r in hist if r["kind"] == WAITING}
@@ -134,6 +136,9 @@ def pack(docs: DataFrame, *, capacity: int = CAPACITY, sweep_rows: int = SWEEP_R
             break
         top = max(gaps, default=0)
         stranded = {s: n for s, n in waiting.items() if s > top}
+        if sum(waiting.values()) == before:  # no gap that holds a piece met it
+            stranded = waiting
+        before = sum(waiting.values())
         fresh = 0
         if stranded:
             total = sum(s * n for s, n in stranded.items())
@@ -158,30 +163,18 @@ def pack(docs: DataFrame, *, capacity: int = CAPACITY, sweep_rows: int = SWEEP_R
 
 
 def _round(open_: DataFrame, waiting: dict[int, int], gaps: dict[int, int], round_: int, capacity: int, rows: int) -> DataFrame:
-    ranges = _ranges(waiting, gaps, rows)
+    # The salt changes with the round, so a piece meets other gaps of its range.
+    salt = F.xxhash64("doc_id", "piece", "bin", F.lit(round_))
+    steps, parts = [], 0
+    for top, n in _ranges(waiting, gaps, rows):
+        steps.append((top, parts, n))
+        parts += n
     part = F.lit(0)
-    base = 0
-    where: list[tuple[int, int, int, int]] = []
-    for low, high, n in ranges:
-        where.append((low, high, base, n))
-        base += n
-    salt = F.xxhash64("doc_id", "piece", "bin")
-    for low, high, first, n in where:
-        part = F.when(F.col("size") >= low, first + F.pmod(salt, F.lit(n)).cast("int")).otherwise(part)
-    # A piece goes to the range of the least gap that holds it: by sizes, a step function with a step for each range.
-    steps: list[tuple[int, int, int]] = []
-    sizes = sorted(gaps)
-    for low, high, first, n in where:
-        inside = [s for s in sizes if low <= s <= high]
-        if inside:
-            steps.append((inside[-1], first, n))
-    target = F.lit(None).cast("int")
-    for top, first, n in sorted(steps, reverse=True):
-        target = F.when(F.col("size") <= top, first + F.pmod(salt, F.lit(n)).cast("int")).otherwise(target)
-    part = F.when(F.col("kind") == GAP, part).otherwise(F.coalesce(target, part))
+    for top, first, n in reversed(steps):
+        part = F.when(F.col("size") <= top, first + F.pmod(salt, F.lit(n)).cast("int")).otherwise(part)
     routed = open_.select("kind", "doc_id", "piece", "bin", "size", part.alias("part"))
     order = [F.col("part"), F.col("kind"), F.col("size").desc(), F.col("doc_id").asc_nulls_first(), F.col("piece"), F.col("bin")]
-    return routed.repartition(base, "part").sortWithinPartitions(*order).mapInArrow(_sweep(round_, capacity), _STATE)
+    return routed.repartition(parts, "part").sortWithinPartitions(*order).mapInArrow(_sweep(round_, capacity), _STATE)
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
