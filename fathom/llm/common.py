@@ -7,12 +7,12 @@ import os
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A side of a join is broadcast up to so many bytes, by count of its rows times an estimate of a row's size.
@@ -93,6 +93,22 @@ def _scratch(spark: SparkSession, path: str) -> None:
 # ---------------------------------------------------------------- keys and joins
 
 
+def packed(docs: DataFrame, *replaced: str) -> tuple[DataFrame, Callable[[], list[Column]]]:
+    """(doc_id, text and all other columns but the replaced ones as one, what to select to have them back).
+
+    So no name of a column of docs clashes with one that an operator uses.
+    """
+    base = docs.drop(*replaced)
+    rest = [c for c in base.columns if c not in ("doc_id", "text")]
+    whole = [F.struct(*(F.col(f"`{c}`") for c in rest)).alias("__rest")] if rest else []
+    return base.select("doc_id", "text", *whole), lambda: [F.col("__rest").getField(c).alias(c) if c in rest else F.col(c) for c in base.columns]
+
+
+def columns(df: DataFrame) -> list[Column]:
+    """All columns, whatever is in their names."""
+    return [F.col(f"`{c}`") for c in df.columns]
+
+
 def keyed(docs: DataFrame, scratch: Scratch, *, key: str = "__key") -> DataFrame:
     """docs with a column of unique longs that follow (doc_id, text).
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, checked, components, grouped, jaccard, keyed, mix, shingles, slices, table, unique_in
+from .common import Scratch, checked, columns, components, grouped, jaccard, keyed, mix, packed, shingles, slices, table, unique_in
 
 THRESHOLD = 0.5
 SHINGLE = 3
@@ -187,17 +187,17 @@ def near_duplicates(docs: DataFrame, *, threshold: float = THRESHOLD, words: int
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    base = docs.drop("group", "group_size", "keep")
+    base, back = packed(docs, "group", "group_size", "keep")
     rows_ = keyed(base, scratch)
     groups = _groups(rows_, scratch, threshold, words, k, rows)
     size = groups.count()
-    back = rows_.select(F.col("__key").alias("root"), F.col("doc_id").alias("group"))
-    named = groups.join(back, "root").select(F.col("key"), "root", "group", "group_size")
+    roots = rows_.select(F.col("__key").alias("root"), F.col("doc_id").alias("group"))
+    named = groups.join(roots, "root").select(F.col("key"), "root", "group", "group_size")
     named = scratch.write("named", named)
     out = rows_.join(checked(named, size, 48), rows_["__key"] == named["key"], "left")
     alone = F.col("root").isNull()
     return out.select(
-        *(F.col(f"`{c}`") for c in base.columns),
+        *back(),
         F.when(alone, F.col("doc_id")).otherwise(F.col("group")).alias("group"),
         F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
         (alone | (F.col("root") == F.col("__key"))).alias("keep"),
@@ -253,4 +253,4 @@ def op8_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near-duplicates: the one with the least doc_id."""
-    return near_duplicates(docs).filter("keep").select(*docs.columns)
+    return near_duplicates(docs).filter("keep").select(*columns(docs))

@@ -8,8 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import raw, slices, table
+from .common import columns, packed, raw, slices, table
 
 HIDDEN = 6
 WINDOW = 64
@@ -270,15 +271,15 @@ def identify(docs: DataFrame, model: tuple[list[str], Params] | None = None, *,
     kept.  Rows aren't dropped, repeated or merged; columns named like the four new
     ones are replaced.
     """
-    base = docs.drop("predicted", "prob", "positions", "keep")
+    base, back = packed(docs, "predicted", "prob", "positions", "keep")
     if model is None:
         texts, labels = sample(docs)
         model = train(texts, labels) if texts else None
     if model is None:
-        none = base.withColumns({"predicted": F.lit(None).cast("string"), "prob": F.lit(0.0), "positions": F.array().cast("array<long>")})
+        none = base.select(*back()).withColumns({"predicted": F.lit(None).cast("string"), "prob": F.lit(0.0), "positions": F.array().cast("array<long>")})
         return none.withColumn("keep", F.coalesce(F.octet_length("text") > 0, F.lit(False)))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema), "predicted string, prob double, positions array<long>"])
-    out = base.mapInArrow(_label(*model), schema)
+    schema = T.StructType([*base.schema, T.StructField("predicted", T.StringType()), T.StructField("prob", T.DoubleType()), T.StructField("positions", T.ArrayType(T.LongType()))])
+    out = base.mapInArrow(_label(*model), schema).select(*back(), "predicted", "prob", "positions")
     return out.withColumn("keep", F.coalesce((F.col("predicted") != NONE) & (F.col("prob") >= min_prob), F.lit(False)))
 
 
@@ -289,4 +290,4 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents of no language that the network knows."""
-    return identify(docs).filter("keep").select(*docs.columns)
+    return identify(docs).filter("keep").select(*columns(docs))

@@ -9,8 +9,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import Scratch, checked, grouped, jaccard, keyed, mix, slices, unique_in, word_hashes
+from .common import Scratch, checked, columns, grouped, jaccard, keyed, mix, packed, slices, unique_in, word_hashes
 
 THRESHOLD = 0.9
 MIN_WORDS = 5
@@ -239,18 +240,17 @@ def dedup_lines(docs: DataFrame, *, threshold: float = THRESHOLD, min_words: int
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    rows = keyed(docs, scratch)
+    base, back = packed(docs, "n_lines", "n_removed")
+    rows = keyed(base, scratch)
     gone = removed_lines(rows, scratch, threshold=threshold, min_words=min_words, sketch_bits=sketch_bits)
     for name in ("pairs", "texts", "sets"):
         scratch.drop(name)
     size = gone.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("gone")), F.lit(0))).first()
-    rows = rows.drop("n_lines", "n_removed", "gone")
     rows = rows.join(checked(gone, 1, 40 * size[0] + 4 * size[1]), rows["__key"] == gone["key"], "left").drop("key", "__key")
-    others = [c for c in rows.columns if c not in ("text", "gone")]
-    kinds = {f.name: f for f in rows.schema}
-    schema = ", ".join([*(f"`{c}` {kinds[c].dataType.simpleString()}" for c in others), "text string", "n_lines int", "n_removed int"])
-    out = rows.select(*others, "text", "gone").mapInArrow(_strip, schema)
-    return out.select(*(c for c in docs.columns if c not in ("n_lines", "n_removed")), "n_lines", "n_removed")
+    others = [f for f in rows.schema if f.name not in ("text", "gone")]
+    counts = [T.StructField(c, T.IntegerType()) for c in ("n_lines", "n_removed")]
+    out = rows.select(*(f.name for f in others), "text", "gone").mapInArrow(_strip, T.StructType([*others, T.StructField("text", T.StringType()), *counts]))
+    return out.select(*back(), "n_lines", "n_removed")
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -262,4 +262,4 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes repeated lines, and the documents of which nothing is left; n_chars follows the text."""
     out = dedup_lines(docs)
     left = (F.col("n_removed") == 0) | (F.col("text").rlike(r"\S"))
-    return out.filter(left).withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    return out.filter(left).withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*columns(docs))

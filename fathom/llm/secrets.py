@@ -17,8 +17,9 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import slices, table
+from .common import columns, packed, slices, table
 
 _B62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 #: A generic value must have so many bits of entropy a character.
@@ -209,11 +210,10 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
 
 def redact_secrets(docs: DataFrame) -> DataFrame:
     """docs with each secret in text replaced by its detector's name in brackets, and n_secrets; rows and other columns stay, a column n_secrets is replaced."""
-    base = docs.drop("n_secrets")
+    base, back = packed(docs, "n_secrets")
     others = [f for f in base.schema if f.name != "text"]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in others), "text string, n_secrets int"])
-    out = base.mapInArrow(_redact, schema)
-    return out.select(*(F.col(f"`{c}`") for c in base.columns), "n_secrets")
+    schema = T.StructType([*others, T.StructField("text", T.StringType()), T.StructField("n_secrets", T.IntegerType())])
+    return base.mapInArrow(_redact, schema).select(*back(), "n_secrets")
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -223,4 +223,4 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Redacts secrets; n_chars follows the text."""
     out = redact_secrets(docs)
-    return out.withColumn("n_chars", F.when(F.col("n_secrets") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    return out.withColumn("n_chars", F.when(F.col("n_secrets") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*columns(docs))
