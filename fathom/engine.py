@@ -325,7 +325,7 @@ class Engine:
         fresh = written(fresh)
         tx.frames[name] = before.unionByName(fresh)
         self._record(tx, c, "Insert", None, fresh)
-        out = {"imported": fresh.count(), "skipped": skipped.count(), "failed": written(bad).count()}
+        out = {"imported": fresh.count(), "skipped": skipped.count(), "failed": bad.count()}
         self._commit(tx)
         return out
 

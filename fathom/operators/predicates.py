@@ -8,6 +8,7 @@ only made explicit below a negation, where they change the answer.
 from __future__ import annotations
 
 import datetime as dt
+import re
 from collections.abc import Iterable
 from dataclasses import dataclass
 from typing import Any
@@ -216,9 +217,7 @@ def _condition(x: Leaf, found: Typed) -> Column:
 
 def pattern(text: str) -> str:
     """A regular expression without look-around or back-references, whose time stays linear elsewhere."""
-    import re
-
-    if re.search(r"\(\?[=!<](?![A-Za-z_])|\(\?<[=!]|\\[1-9]|\\k<", text):
+    if re.search(r"\(\?<?[=!]|\\[1-9]|\\k<", text):
         raise ValidationError("look-around and back-references aren't supported")
     try:
         re.compile(re.sub(r"\(\?<([A-Za-z_]\w*)>", r"(?P<\1>", text).replace(r"\p{", "[{").replace(r"\P{", "[{"))

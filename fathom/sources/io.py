@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import ValidationError
+from .shared import written
 
 _CORRUPT = "_corrupt"
 
@@ -15,6 +16,7 @@ def read_json(spark: SparkSession, path: str, schema: T.StructType, *, multi_lin
     """(rows, texts that aren't rows) of a JSON file: lines, or with multi_line an array."""
     whole = T.StructType([*schema.fields, T.StructField(_CORRUPT, T.StringType())])
     df = spark.read.schema(whole).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", _CORRUPT).option("multiLine", multi_line).json(path)
+    df = written(df)  # parsed once, and Spark answers no query about broken lines alone
     return df.filter(F.col(_CORRUPT).isNull()).drop(_CORRUPT), df.filter(F.col(_CORRUPT).isNotNull()).select(_CORRUPT)
 
 
