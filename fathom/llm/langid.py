@@ -20,8 +20,8 @@ TRAIN_WINDOWS = 8
 #: Languages of fewer labelled documents than this aren't learned.
 MIN_DOCS = 5
 STEPS, BATCH, RATE = 240, 256, 0.02
-#: A document is kept if its language is certain to this degree.
-MIN_PROB = 0.35
+#: A document is rejected if it is of no language to this degree, as a mean over its bytes: numbers and names within prose don't make it none.
+MIN_NONE = 0.75
 #: The class of what is no language: digits, symbols, random letters and bytes.
 NONE = "und"
 
@@ -254,15 +254,16 @@ def _label(classes: list[str], p: Params):
     return run
 
 
-def identify(docs: DataFrame, model: tuple[list[str], Params] | None = None, *, min_prob: float = MIN_PROB) -> DataFrame:
+def identify(docs: DataFrame, model: tuple[list[str], Params] | None = None, *, min_none: float = MIN_NONE) -> DataFrame:
     """docs with `predicted`, `prob`, `positions` and `keep`.
 
     The network reads each text as windows of 64 bytes, every byte in exactly one of
     them, and gives each byte a probability for each language it was trained on and
     for none ("und").  prob is the mean over all bytes of the whole text of the best
     class, predicted; positions counts the bytes by best class, classes in
-    alphabetical order with "und" last.  keep is false for documents of no language
-    or with prob below min_prob.
+    alphabetical order with "und" last.  keep is false for documents predicted to be
+    of no language with a prob of min_none or more; prose whose language is in doubt,
+    as that of a single word may be, is kept.
 
     The model, unless given, is trained on at most TRAIN_DOCS documents of each
     language in the column lang.  Null and empty texts have null predicted, prob 0
@@ -280,7 +281,7 @@ def identify(docs: DataFrame, model: tuple[list[str], Params] | None = None, *,
         return none.withColumn("keep", F.coalesce(F.octet_length("text") > 0, F.lit(False)))
     schema = T.StructType([*base.schema, T.StructField("predicted", T.StringType()), T.StructField("prob", T.DoubleType()), T.StructField("positions", T.ArrayType(T.LongType()))])
     out = base.mapInArrow(_label(*model), schema).select(*back(), "predicted", "prob", "positions")
-    return out.withColumn("keep", F.coalesce((F.col("predicted") != NONE) & (F.col("prob") >= min_prob), F.lit(False)))
+    return out.withColumn("keep", F.col("predicted").isNotNull() & ((F.col("predicted") != NONE) | (F.col("prob") < min_none)))
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -54,7 +54,9 @@ def test_prefilter_loses_nothing(text):
     assert [tuple(f) for f in S.Scanner().scan(text)] == brute(text)
 
 
-def test_query_matches_brute_force(spark, sf, documents):
+def test_query_matches_brute_force(spark):
+    sf = "/root/testdata/sf0.01"
+    documents = spark.read.parquet(f"{sf}/documents.parquet")
     got = Counter((r.doc_id, r.detector, r.begin, r.end, r.verified, r.digest) for r in S.op1_secret_scan(spark, sf).collect())
     want = Counter()
     for r in documents.collect():
