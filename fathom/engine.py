@@ -337,11 +337,11 @@ class Engine:
             raise ValidationError("update needs data")
         c = self._own(tx, name)
         before = tx.frame(c)
-        marked = before.withColumn("__hit", self._hit(c, before, where))
-        after = written(changes.updated(marked, F.col("__hit"), data))
-        new = after.filter("__hit").drop("__hit")
-        old = marked.filter("__hit").drop("__hit")
-        after = after.drop("__hit")
+        hit = self._hit(c, before, where)
+        old = before.filter(hit)
+        # Only the rows that change are written here; the table is, once, at the commit.
+        new = written(changes.updated(old, F.lit(True), data))
+        after = changes.updated(before, hit, data)
         changes.check(self.catalog, c, before, new, after, tx.frames, options.validate)
         tx.frames[name] = after
         self._record(tx, c, "Update", old, new)
