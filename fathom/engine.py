@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import copy
 import json
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field, replace
 from typing import Any
 
@@ -16,7 +18,7 @@ from .errors import EngineError, ValidationError
 from .functions.scalar import evaluate
 from .lang import ast, bind
 from .lang.parser import parse
-from .operators import changes
+from .operators import changes, search
 from .operators import predicates as P
 from .plans.compile import Compiled, Compiler
 from .plans.fluent import QueryBuilder, SearchBuilder
@@ -69,6 +71,34 @@ class Transaction:
         return self.frames[c.name] if c.name in self.frames else c.load()
 
 
+class Session:
+    """What can be done in a transaction."""
+
+    def __init__(self, engine: Engine):
+        self.engine, self.tx = engine, Transaction(engine)
+
+    def execute(self, text: str, variables: dict[str, Any] | None = None, options: Options | None = None) -> list[Result]:
+        """Runs the mutations of a text."""
+        document = parse(text)
+        out: list[Result] = []
+        for o in document.operations:
+            if not isinstance(o, ast.Operation) or o.kind != "mutation":
+                raise ValidationError("a transaction takes mutations")
+            given = bind.variables(o.variables, variables)
+            known = self.engine.catalog.__contains__
+            flat = lambda selections, on, given=given: bind.flatten(selections, document.fragments, given, on, known)
+            for f in bind.flatten(o.selections, document.fragments, given, None, known):
+                out += self.engine._mutate(self.tx, f, given, flat, options or Options())
+        return out
+
+    def insert(self, collection: str, *rows: dict[str, Any]) -> int:
+        return self.engine._insert(self.tx, ast.Field("insert"), collection, list(rows), None, Options()).affected
+
+    def frame(self, collection: str) -> DataFrame:
+        """A table as it is within the transaction."""
+        return self.tx.frame(self.engine._own(self.tx, collection, write=False))
+
+
 class Engine:
     """Collections over tables that others keep (register) and over the engine's own, which it can change.
 
@@ -181,6 +211,16 @@ class Engine:
     def find_by_id(self, collection: str, sid: str) -> DataFrame:
         return self.compile(QuerySpec(collection, P.Leaf("_sid", "eq", sid), limit=1)).frame
 
+    def find_one(self, collection: str, where: dict[str, Any] | None = None) -> dict[str, Any] | None:
+        got = self.compile(QuerySpec(collection, P.from_object(where or {}), limit=1)).frame.collect()
+        return got[0].asDict(recursive=True) if got else None
+
+    def find_by_field(self, collection: str, name: str, value: Any) -> DataFrame:
+        return self.find_by_fields(collection, {name: value})
+
+    def find_by_fields(self, collection: str, values: dict[str, Any]) -> DataFrame:
+        return self.compile(QuerySpec(collection, P.And(tuple(P.Leaf(n, "eq", v) for n, v in values.items())))).frame
+
     def find_in_range(self, collection: str, name: str, low: Any, high: Any) -> DataFrame:
         return self.compile(QuerySpec(collection, P.Leaf(name, "between", [low, high]))).frame
 
@@ -188,6 +228,37 @@ class Engine:
         """Rows whose system id begins so."""
         return self.compile(QuerySpec(collection, P.Leaf("_sid", "startsWith", prefix))).frame
 
+    def matching(self, collection: str, pattern: str) -> DataFrame:
+        """Rows whose system id is like an SQL pattern."""
+        c = self.catalog.get(collection)
+        df = c.frame()
+        return df.filter(c.sid(df.schema).column.like(pattern))
+
+    def rows(self, collection: str) -> Iterator[dict[str, Any]]:
+        """All rows, a partition at a time."""
+        return (r.asDict(recursive=True) for r in self.catalog.get(collection).frame().toLocalIterator())
+
+    def text_index(self, collection: str, name: str) -> DataFrame:
+        """(word, sid, n): how often a word occurs in a text field of a row."""
+        c = self.catalog.get(collection)
+        df = c.frame()
+        return search.inverted_index(df, name, c.sid(df.schema).column)
+
+    def index_stats(self, collection: str, name: str) -> DataFrame:
+        """(field, rows, keys, most): about how many values a field has, and how many rows share the most frequent one."""
+        by = self.catalog.get(collection).frame().groupBy(F.col(f"`{name}`").alias("k")).agg(F.count(F.lit(1)).alias("n"))
+        return by.agg(F.lit(name).alias("field"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.count("k").alias("keys"), F.max("n").alias("most"))
+
+    def database_stats(self) -> DataFrame:
+        """stats of every collection."""
+        out = None
+        for name in self.catalog.collections:
+            one = self.stats(name)
+            out = one if out is None else out.unionByName(one)
+        if out is None:
+            raise ValidationError("there are no collections")
+        return out
+
     def stats(self, collection: str) -> DataFrame:
         return self.catalog.stats(self.spark, collection)
 
@@ -198,6 +269,35 @@ class Engine:
     def changes(self) -> DataFrame:
         return self.store.changes()
 
+    # ------------------------------------------------------------ writing by calls
+
+    @contextmanager
+    def transaction(self) -> Iterator[Session]:
+        """Mutations that take effect together at the end, or not at all if one fails; they see each other's rows."""
+        session = Session(self)
+        yield session
+        self._commit(session.tx)
+
+    def insert_into(self, collection: str, *rows: dict[str, Any]) -> int:
+        with self.transaction() as t:
+            return t.insert(collection, *rows)
+
+    def create_index(self, collection: str, *names: str) -> None:
+        """Rewrites one of the engine's own tables in ranges of these fields, sorted within, so that scans skip by the files' statistics."""
+        tx = Transaction(self)
+        c = self._own(tx, collection)
+        tx.definitions[collection] = replace(c, fields={n: replace(i, indexed=i.indexed or n in names) for n, i in c.fields.items()})
+        order = [F.col(f"`{n}`") for n in names]
+        tx.frames[collection] = tx.frame(c).repartitionByRange(*order).sortWithinPartitions(*order)
+        self._commit(tx)
+
+    def optimize(self, collection: str) -> None:
+        """Rewrites one of the engine's own tables into files of an even size."""
+        tx = Transaction(self)
+        c = self._own(tx, collection)
+        tx.frames[collection] = tx.frame(c).hint("rebalance")
+        self._commit(tx)
+
     # ------------------------------------------------------------ mutations
 
     def _mutation(self, roots: list[ast.Field], given: dict[str, Any], flat: Any, options: Options) -> Result:

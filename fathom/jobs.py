@@ -53,6 +53,14 @@ class Queue:
         df = self.engine.catalog.get(COLLECTION).load()
         return df.filter((F.col("status") == "PENDING") & (F.col("run_at") <= F.current_timestamp())).orderBy(F.col("priority").desc(), "created_at", "id")
 
+    def reap(self, seconds: int) -> int:
+        """Puts jobs back that have been running for longer: who ran them is gone."""
+        df = self.engine.catalog.get(COLLECTION).load()
+        lost = df.filter((F.col("status") == "RUNNING") & (F.col("run_at") < F.current_timestamp() - F.make_interval(secs=F.lit(seconds)))).select("_sid").collect()
+        for r in lost:
+            self._set(r[0], status="PENDING")
+        return len(lost)
+
     def stats(self) -> DataFrame:
         return self.engine.catalog.get(COLLECTION).load().groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
@@ -70,7 +78,7 @@ class Queue:
         if not got:
             return None
         job = got[0]
-        self._set(job["_sid"], status="RUNNING")
+        self._set(job["_sid"], status="RUNNING", run_at=_now())
         try:
             self.handlers[job["job_type"]](json.loads(job["payload"] or "{}"))
         except Exception as e:  # the handler's own

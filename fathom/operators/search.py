@@ -113,6 +113,13 @@ def _bm25_fuzzy(df: DataFrame, words: Column, terms: list[str], distance: int, k
     return joined.withColumn(score, total).filter(F.col(score) > 0).select(*df.columns, score)
 
 
+def inverted_index(df: DataFrame, field: str, sid: Column, stop_words: frozenset[str] = STOP_WORDS) -> DataFrame:
+    """(word, sid, n): the words of a text field with the rows that hold them, and how often."""
+    text_fields(df, [field])
+    words = df.select(sid.alias("sid"), F.explode(words_of(F.col(f"`{field}`"), stop_words)).alias("word"))
+    return words.groupBy("word", "sid").agg(F.count(F.lit(1)).alias("n"))
+
+
 def highlight(text: Column, query: str) -> Column:
     """The text with each occurrence of a word of the query, in any case, within <mark>."""
     terms = sorted(set(query.split()), key=lambda t: (-len(t), t))

@@ -118,6 +118,26 @@ def _(e: Engine) -> DataFrame:
     return e.with_prefix("orders", "12").select("o_orderkey")
 
 
+@_code("find_by_fields", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '2-HIGH'", "orders")
+def _(e: Engine) -> DataFrame:
+    return e.find_by_fields("orders", {"o_orderstatus": "F", "o_orderpriority": "2-HIGH"}).select("o_orderkey")
+
+
+@_code("find_in_range", "SELECT event_id FROM events WHERE value BETWEEN 10 AND 20", "events")
+def _(e: Engine) -> DataFrame:
+    return e.find_in_range("events", "value", 10, 20).select("event_id")
+
+
+@_code("pattern_scan", "SELECT c_custkey FROM customer WHERE c_custkey::VARCHAR LIKE '1_'", "customer")
+def _(e: Engine) -> DataFrame:
+    return e.matching("customer", "1_").select("c_custkey")
+
+
+@_code("index_stats", "SELECT 'o_custkey' AS field, sum(n)::BIGINT AS rows, count(*) AS keys, max(n) AS most FROM (SELECT count(*) AS n FROM orders GROUP BY o_custkey)", "orders")
+def _(e: Engine) -> DataFrame:
+    return e.index_stats("orders", "o_custkey")
+
+
 @_code("point_get", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey = 77", "orders")
 def _(e: Engine) -> DataFrame:
     return e.find_by_id("orders", "77").select("o_orderkey", "o_totalprice")
@@ -224,6 +244,11 @@ def _(e: Engine) -> DataFrame:
     return _round6(e.search("documents").query(" ".join(_TERMS)).ranked("text")).select("doc_id", "_score")
 
 
+@_code("text_index", "SELECT word, p_partkey::VARCHAR AS sid, count(*) AS n FROM (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS word FROM part) GROUP BY ALL", "part")
+def _(e: Engine) -> DataFrame:
+    return e.text_index("part", "p_name")
+
+
 _BM25_FUZZY = """
 WITH w AS (SELECT p_partkey, string_split(p_name, ' ') AS ws FROM part), n AS (SELECT count(*) AS docs, avg(len(ws)) AS mean FROM w),
 t AS (SELECT p_partkey, len(ws) AS dl, unnest(list_distinct(ws)) AS word, ws FROM w), m AS (SELECT *, levenshtein(word, 'smal') AS d FROM t WHERE levenshtein(word, 'smal') <= 1),

@@ -333,3 +333,21 @@ def test_prefix_and_stats(e):
     assert e.prewarm("users") == 3
     with pytest.raises(SyntaxProblem):
         e.execute("{ users { ")
+
+
+def test_transactions_by_calls(own, spark):
+    with own.transaction() as t:
+        t.insert("users", {"id": "c", "name": "Cy"})
+        t.execute('mutation { update(collection: "users", where: {id: {eq: "c"}}, data: {age: 7}) { id } }')
+        assert t.frame("users").count() == 3 and "c" not in users(own)
+    assert users(own)["c"]["age"] == 7
+    with pytest.raises(ValidationError), own.transaction() as t:
+        t.insert("users", {"id": "d", "name": "D"})
+        t.insert("users", {"id": "d", "name": "again"})
+    assert "d" not in users(own)
+    assert own.insert_into("users", {"id": "e", "name": "E"}, {"id": "f", "name": "F"}) == 2
+    own.create_index("users", "age")
+    own.optimize("users")
+    assert len(users(own)) == 5 and own.find_one("users", {"age": {"eq": 7}})["id"] == "c"
+    assert {r["id"] for r in own.rows("users")} == {"a", "b", "c", "e", "f"}
+    assert own.index_stats("users", "age").first()["rows"] == 5 and own.database_stats().count() == 1
