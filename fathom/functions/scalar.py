@@ -327,3 +327,19 @@ def template(text: str, scope: Scope) -> Column:
             parts += [F.lit(text[at : m.start()]), F.coalesce(found.column.cast("string"), F.lit(""))]
             at = m.end()
     return F.concat(*parts, F.lit(text[at:]))
+
+
+def roots_of(x: Any) -> set[str] | None:
+    """The columns that an expression reads; None if that can't be told."""
+    if isinstance(x, (ast.Template, ast.Sql)):
+        return None
+    if isinstance(x, ast.Path):
+        return {x.parts[0], *x.parts[1:2]} if x.parts[0] == "doc" else {x.parts[0]}
+    inner = x.args if isinstance(x, ast.Call) else (x.left, x.right) if isinstance(x, ast.Binary) else (x.operand,) if isinstance(x, ast.Unary) else (x.test, x.yes, x.no) if isinstance(x, ast.Ternary) else ()
+    out: set[str] = set()
+    for part in inner:
+        got = roots_of(part)
+        if got is None:
+            return None
+        out |= got
+    return out

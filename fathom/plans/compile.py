@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import ValidationError
-from ..functions.scalar import evaluate
+from ..functions.scalar import evaluate, roots_of
 from ..lang import ast
 from ..operators import predicates as P
 from ..operators import search, shapes, timeseries
@@ -180,8 +180,11 @@ class Compiler:
         windows = {f.out: f for f in fields if f.name == "windowFunc"}
         if windows:
             along = self.sorts(order) if order else [F.col(f"`{k}`").asc() for k in c.keys]
+            bounded = spec.limit is not None or spec.last is not None
+            if not bounded and (names := self.needed(c, fields, spec)) is not None:
+                df = df.select(*(F.col(f"`{n}`") for n in df.columns if n in names))
             args = {f"__w_{o}": (str(f.args.get("field")), str(f.args.get("function", "avg")), int(f.args.get("windowSize", 3))) for o, f in windows.items()}
-            df = timeseries.rolling(df, args, along, spec.limit is not None or spec.last is not None)
+            df = timeseries.rolling(df, args, along, bounded)
         few = spec.limit is not None and spec.limit <= FEW_ROWS or spec.last is not None and spec.last <= FEW_ROWS
         outs: list[Column] = []
         for i, f in enumerate(fields):
@@ -194,6 +197,20 @@ class Compiler:
                 outs.append(self.column(df, c, f).alias(f.out))
         return df.select(*outs), deferred
 
+    @staticmethod
+    def needed(c: Collection, fields: list[ast.Field], spec: QuerySpec) -> set[str] | None:
+        """The columns that the fields and the order read; None if that can't be told."""
+        names = {*c.keys, "_sid", "_score", *(n.split(".")[0] for n, _ in spec.order)}
+        for f in fields:
+            if f.expr is not None:
+                read = roots_of(f.expr)
+                if read is None:
+                    return None
+                names |= read
+            else:
+                names |= {f.name, str(f.args.get("localField")), str(f.args.get("field"))}
+        return names
+
     # ------------------------------------------------------------ lookups
 
     @staticmethod
@@ -218,7 +235,8 @@ class Compiler:
         """df with an array of the matching rows of another collection, in order; null where the local field is null.
 
         The other side is filtered and projected first, then gathered by key, which
-        is one shuffle; after a small limit only the keys that are wanted are kept.
+        is one shuffle and left out where the key is unique; after a small limit only
+        the keys that are wanted are kept.
         """
         other = self.catalog.get(f.args["collection"])
         right = other.frame()
@@ -243,7 +261,11 @@ class Compiler:
                 outs.append(other.sid(right.schema).column.alias(x.out))
             else:
                 outs.append(self.column(right, other, x).alias(x.out))
-        gathered = right.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*outs))).alias(found))
+        info = other.fields.get(f.args["foreignField"])
+        if other.keys == [f.args["foreignField"]] or f.args["foreignField"] == "_sid" or (info is not None and info.unique):
+            gathered = right.select(F.col(key), F.array(F.struct(*outs)).alias(found))  # a key has one row: nothing to gather
+        else:
+            gathered = right.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*outs))).alias(found))
         joined = left.join(gathered, F.col(own) == F.col(key), "left")
         empty = F.array().cast(gathered.schema[found].dataType)
         return joined.withColumn(out, F.when(F.col(own).isNotNull(), F.coalesce(found, empty))).drop(own, key, found)
