@@ -7,6 +7,7 @@ import json
 from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass, field, replace
+from functools import cached_property
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -109,10 +110,16 @@ class Engine:
     def __init__(self, spark: SparkSession, path: str | None = None):
         self.spark = spark
         self.catalog = Catalog()
-        self.store = Store(spark, path)
+        self.path = path
         self.handlers = Handlers(self)
-        for name, d in self.store.state["collections"].items():
-            self._restore(name, d)
+        if path is not None:
+            for name, d in self.store.state["collections"].items():
+                self._restore(name, d)
+
+    @cached_property
+    def store(self) -> Store:
+        """Made when first needed: queries over registered tables write nothing."""
+        return Store(self.spark, self.path)
 
     # ------------------------------------------------------------ catalog
 
