@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
-from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -151,9 +150,15 @@ _AC = (
 )
 
 
-@lru_cache(64)
+#: What a task has made so far; functools' caches would be looked up by name, in a package that executors needn't have.
+_TABLES: dict[tuple[bytes, bytes], list[int]] = {}
+_FRAMES: dict[bytes, bytes] = {}
+
+
 def _huffman(counts: bytes, values: bytes) -> list[int]:
     """By the next 16 bits: length of the code times 256, and its value; 0 for none."""
+    if (counts, values) in _TABLES:
+        return _TABLES[counts, values]
     table = [0] * 65536
     code = k = 0
     for length in range(1, 17):
@@ -165,6 +170,9 @@ def _huffman(counts: bytes, values: bytes) -> list[int]:
                 table[x] = length << 8 | values[k]
             code, k = code + 1, k + 1
         code <<= 1
+    if len(_TABLES) >= 64:
+        _TABLES.clear()
+    _TABLES[counts, values] = table
     return table
 
 
@@ -538,13 +546,12 @@ RATE, SIDE, FRAMES = 25, 16, MIN_SHOT
 
 def _frame(levels: tuple[int, ...]) -> bytes:
     """An image of four cells, each of one grey level."""
-    cells = np.array(levels, np.uint8).reshape(2, 2)
-    return _cached_frame(cells.tobytes())
-
-
-@lru_cache(1 << 14)
-def _cached_frame(cells: bytes) -> bytes:
-    return encode(np.frombuffer(cells, np.uint8).reshape(2, 2).repeat(SIDE // 2, 0).repeat(SIDE // 2, 1), tables=False)
+    cells = bytes(levels)
+    if cells not in _FRAMES:
+        if len(_FRAMES) >= 1 << 14:
+            _FRAMES.clear()
+        _FRAMES[cells] = encode(np.frombuffer(cells, np.uint8).reshape(2, 2).repeat(SIDE // 2, 0).repeat(SIDE // 2, 1), tables=False)
+    return _FRAMES[cells]
 
 
 def render(turns: list[tuple[int, str]]) -> bytes:
