@@ -270,7 +270,7 @@ class Engine:
         return self.catalog.stats(self.spark, collection)
 
     def prewarm(self, collection: str) -> int:
-        """Caches a collection, with its replicas where the session asks for them, and counts it."""
+        """Caches a collection and counts it; what a lost executor held is read again."""
         return self.catalog.get(collection).frame().cache().count()
 
     def changes(self) -> DataFrame:
