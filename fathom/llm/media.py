@@ -540,6 +540,8 @@ def mux(frames: list[bytes], width: int, height: int, rate: int = 25, *, index:
     return b"RIFF" + struct.pack("<I", len(body)) + body
 
 
+#: A task renders about so many turns: their digests are few bytes, so the size of the shuffle doesn't tell the work.
+TURNS_A_TASK = 1 << 12
 #: Of rendered files: frames a second, pixels a side, and the least frames of a turn, to which up to two come by its length.
 RATE, SIDE, FRAMES = 25, 16, MIN_SHOT
 
@@ -580,7 +582,9 @@ def rendered(conversations: DataFrame) -> DataFrame:
     """
     text = F.coalesce("text", F.lit(""))
     one = F.struct("turn", "role", F.char_length(text).alias("chars"), F.md5(text.cast("binary")).alias("digest"))
-    turns = conversations.groupBy(F.col("conv_id").cast("long").alias("media_id")).agg(F.array_sort(F.collect_list(one)).alias("turns"))
+    tasks = max(1, -(-conversations.count() // TURNS_A_TASK))
+    spread = conversations.select(F.col("conv_id").cast("long").alias("media_id"), one.alias("turn")).repartition(tasks, "media_id")
+    turns = spread.groupBy("media_id").agg(F.array_sort(F.collect_list("turn")).alias("turns"))
     return turns.mapInArrow(_render, "media_id long, content binary")
 
 
