@@ -17,7 +17,7 @@ from .common import table
 BINS, CELLS = 16, 2
 #: A cut: the difference exceeds the mean of those of its shot so far by so many standard deviations, and this least value.
 SIGMAS, LEAST = 5.0, 0.2
-#: A shot has so many frames at least, but for the last of a file.
+#: A shorter shot is joined with the next; the last of a file may be shorter.
 MIN_SHOT = 3
 
 
@@ -348,15 +348,25 @@ def difference(a: np.ndarray, b: np.ndarray) -> float:
 def shots(differences: list[float], *, sigmas: float = SIGMAS, least: float = LEAST, min_shot: int = MIN_SHOT) -> list[tuple[int, int]]:
     """(first frame, end) of the shots; differences[i] is that of frames i and i + 1.
 
-    The threshold adapts: a cut must stand out of the differences of its shot so far.
+    The threshold adapts: a cut must stand out of the differences of its shot so far,
+    or, while these are fewer than two, of those that follow.  Cuts are found however
+    short the shot is, and no cut's difference counts in the statistics; a shot of
+    fewer than min_shot frames is then joined with the next.
     """
     out: list[tuple[int, int]] = []
     begin, n, mean, squares = 0, 0, 0.0, 0.0
     for i, d in enumerate(differences):
-        deviation = (squares / n) ** 0.5 if n else 0.0
-        if i + 1 - begin >= min_shot and d >= max(least, mean + sigmas * deviation):
-            out.append((begin, i + 1))
-            begin, n, mean, squares = i + 1, 0, 0.0, 0.0
+        if n < 2:
+            after = sorted(differences[i + 1 : i + 6])
+            usual = after[len(after) // 2] if after else 0.0
+            threshold = min(2 * usual, (1 + usual) / 2)
+        else:
+            threshold = mean + sigmas * (squares / n) ** 0.5
+        if d >= max(least, threshold):
+            if i + 1 - begin >= min_shot:
+                out.append((begin, i + 1))
+                begin = i + 1
+            n, mean, squares = 0, 0.0, 0.0
             continue
         n += 1
         step = d - mean

@@ -78,6 +78,23 @@ def test_threshold_adapts():
     assert M.shots([1.0, 1.0, 1.0, 1.0, 1.0]) == [(0, 3), (3, 6)]
 
 
+@pytest.mark.parametrize("short", [1, 2])
+@pytest.mark.parametrize("cut", [1.0, 0.5])
+def test_short_shots_hide_no_later_cut(short, cut):
+    """A scene, one of a frame or two, which is joined with the next, and two more scenes."""
+    calm = [0.01] * 4
+    got = M.shots([*calm, 1.0, *[0.01] * (short - 1), 1.0, *calm, cut, *calm])
+    assert got == [(0, 5), (5, 10 + short), (10 + short, 15 + short)]
+    # Several short ones in a row.
+    assert M.shots([*calm, 1.0, 1.0, 1.0, *calm, cut, *calm])[-1] == (12, 17)
+    # The first of a file.
+    assert M.shots([*[0.01] * (short - 1), 1.0, *calm, cut, *calm])[-1] == (short + 5, short + 10)
+
+
+def test_restless_from_the_start_is_no_cut():
+    assert M.shots([0.25, 0.3, 0.28, 0.27, 0.26, 0.29, 0.25]) == [(0, 8)]
+
+
 def test_query_equals_sql(spark, sf):
     df = M.op5_media(spark, sf)
     con = duckdb.connect()
