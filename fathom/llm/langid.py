@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +18,8 @@ WINDOW = 64
 #: The classifier is fitted on so many labelled documents of each language at most, and so many windows of each.
 TRAIN_DOCS = 200
 TRAIN_WINDOWS = 8
+#: Longer texts are not collected to draw windows of them, but windows are drawn where the text is.
+WHOLE = 64 * 1024
 #: Languages of fewer labelled documents than this aren't learned.
 MIN_DOCS = 5
 STEPS, BATCH, RATE = 240, 256, 0.02
@@ -158,16 +161,18 @@ def _noise(rng: np.random.Generator, n: int) -> list[bytes]:
     return out
 
 
-def train(texts: list[str], labels: list[str], *, steps: int = STEPS, hidden: int = HIDDEN, seed: int = 7) -> tuple[list[str], Params]:
-    """(classes, parameters), fitted with Adam to windows of the texts, some cut short, some in capitals, and to noise."""
+def _draw(b: bytes, rng: np.random.Generator) -> list[bytes]:
+    """At most TRAIN_WINDOWS windows of a text, wherever they lie in it."""
+    return [b[k * WINDOW : (k + 1) * WINDOW] for k in rng.permutation(-(-len(b) // WINDOW))[:TRAIN_WINDOWS]]
+
+
+def train(texts: list[str | list[bytes]], labels: list[str], *, steps: int = STEPS, hidden: int = HIDDEN, seed: int = 7) -> tuple[list[str], Params]:
+    """(classes, parameters), fitted with Adam to windows of the texts (or those that sample drew of each), some cut short, some in capitals, and to noise."""
     rng = np.random.default_rng(seed)
     classes = [*sorted(set(labels)), NONE]
     pool: dict[str, list[bytes]] = {c: [] for c in classes}
     for text, label in zip(texts, labels, strict=True):
-        b = text.encode()
-        n = -(-len(b) // WINDOW)
-        for k in rng.permutation(n)[:TRAIN_WINDOWS]:
-            pool[label].append(b[k * WINDOW : (k + 1) * WINDOW])
+        pool[label] += _draw(text.encode(), rng) if isinstance(text, str) else text
     pool[NONE] = _noise(rng, max(map(len, pool.values())))
     p = init(len(classes), hidden, seed)
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
@@ -221,8 +226,22 @@ def predict(p: Params, data: np.ndarray, off: np.ndarray, at_once: int = 2048) -
     return sums, votes
 
 
-def sample(docs: DataFrame, *, per_language: int = TRAIN_DOCS) -> tuple[list[str], list[str]]:
-    """At most per_language labelled texts of each language, drawn by a hash of their id."""
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts of WHOLE characters at most, and windows of each longer one, drawn by its hash."""
+    for b in batches:
+        texts, drawn, seeds = b.column("text").to_pylist(), [], []
+        for i, text in enumerate(texts):
+            whole = text.encode()
+            seeds.append(hashlib.blake2b(whole, digest_size=8).digest())
+            drawn.append([])
+            if len(text) > WHOLE:
+                texts[i] = None
+                drawn[i] = _draw(whole, np.random.default_rng(int.from_bytes(seeds[i], "big")))
+        yield pa.RecordBatch.from_arrays([b.column("lang"), b.column("u"), pa.array(seeds, pa.binary()), pa.array(texts, pa.string()), pa.array(drawn, pa.list_(pa.binary()))], ["lang", "u", "hash", "text", "windows"])
+
+
+def sample(docs: DataFrame, *, per_language: int = TRAIN_DOCS) -> tuple[list[str | list[bytes]], list[str]]:
+    """At most per_language labelled texts of each language, drawn by a hash of their id; of texts of more than WHOLE characters TRAIN_WINDOWS windows, drawn where the text is."""
     counts = {r[0]: r[1] for r in docs.filter(F.col("lang").isNotNull() & (F.octet_length("text") > 0)).groupBy("lang").count().collect() if r[1] >= MIN_DOCS and r[0] != NONE}
     if not counts:
         return [], []
@@ -230,11 +249,12 @@ def sample(docs: DataFrame, *, per_language: int = TRAIN_DOCS) -> tuple[list[str
     bound = F.lit(0.0)
     for lang, n in counts.items():
         bound = F.when(F.col("lang") == lang, F.lit(min(1.0, 1.5 * per_language / n))).otherwise(bound)
-    got = docs.select("doc_id", "lang", "text", drawn.alias("u")).filter((F.col("u") < bound) & (F.octet_length("text") > 0)).select("lang", F.substring("text", 1, 64 * 1024).alias("text"), "u").collect()
-    out: dict[str, list[str]] = {}
-    for r in sorted(got, key=lambda r: (r["u"], r["text"])):
+    some = docs.select("lang", "text", drawn.alias("u")).filter((F.col("u") < bound) & (F.octet_length("text") > 0))
+    got = some.mapInArrow(_windows, "lang string, u double, hash binary, text string, windows array<binary>").collect()
+    out: dict[str, list[str | list[bytes]]] = {}
+    for r in sorted(got, key=lambda r: (r["u"], bytes(r["hash"]))):
         if len(mine := out.setdefault(r["lang"], [])) < per_language:
-            mine.append(r["text"])
+            mine.append(r["text"] if r["text"] is not None else [bytes(w) for w in r["windows"]])
     return [t for ts in out.values() for t in ts], [c for c, ts in out.items() for _ in ts]
 
 
@@ -266,7 +286,7 @@ def identify(docs: DataFrame, model: tuple[list[str], Params] | None = None, *,
     as that of a single word may be, is kept.
 
     The model, unless given, is trained on at most TRAIN_DOCS documents of each
-    language in the column lang.  Null and empty texts have null predicted, prob 0
+    language in the column lang, TRAIN_WINDOWS windows of each wherever they lie.  Null and empty texts have null predicted, prob 0
     and aren't kept.  If no language has MIN_DOCS labelled documents, nothing can be
     told: predicted is null, prob 0, positions empty, and all that have text are
     kept.  Rows aren't dropped, repeated or merged; columns named like the four new

@@ -47,6 +47,15 @@ def test_held_out_accuracy(spark, split):
         assert sum(r.positions) >= len(r.text.encode())
 
 
+def test_whole_texts_are_learned_from(spark):
+    """What stands only after 64 K characters is drawn as often as what is before."""
+    rows = [(i, "a" * 70_000 + "ö" * 70_000, "xx") for i in range(40)]
+    drawn, labels = G.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert labels == ["xx"] * 40 and all(len(w) == G.TRAIN_WINDOWS for w in drawn)
+    late = sum("ö".encode() in w for ws in drawn for w in ws)
+    assert late > 0
+
+
 def test_windows_cover_each_byte_once():
     texts = pa.array(["", "a" * 64, "b" * 65, None, "c" * 1000, "d"])
     data, off = raw(texts)
