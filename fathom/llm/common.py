@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import atexit
-import os
+import bisect
 import shutil
 import tempfile
 import uuid
@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side of a join is broadcast up to so many bytes, by count of its rows times an estimate of a row's size.
@@ -33,12 +33,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that all executors share: spark.checkpoint.dir; where that is unset, one of our own if all of Spark runs on this machine."""
     conf = spark.conf.get("spark.checkpoint.dir", None)
     if conf:
         return conf
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         own = tempfile.mkdtemp(prefix="fathom-shared-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         sc.setCheckpointDir(f"file://{own}")
@@ -104,6 +106,15 @@ def packed(docs: DataFrame, *replaced: str) -> tuple[DataFrame, Callable[[], lis
     return base.select("doc_id", "text", *whole), lambda: [F.col("__rest").getField(c).alias(c) if c in rest else F.col(c) for c in base.columns]
 
 
+def recounted(out: DataFrame, changed: Column, docs: DataFrame, back: Callable[[], list[Column]]) -> DataFrame:
+    """The columns of docs out of their packed form; n_chars, where there is one, follows a text that changed."""
+    cols = back()
+    if "n_chars" in docs.columns:
+        i = docs.columns.index("n_chars")
+        cols[i] = F.when(changed, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(cols[i]).alias("n_chars")
+    return out.select(*cols)
+
+
 def columns(df: DataFrame) -> list[Column]:
     """All columns, whatever is in their names."""
     return [F.col(f"`{c}`") for c in df.columns]
@@ -112,7 +123,7 @@ def columns(df: DataFrame) -> list[Column]:
 def keyed(docs: DataFrame, scratch: Scratch, *, key: str = "__key") -> DataFrame:
     """docs with a column of unique longs that follow (doc_id, text).
 
-    Where doc_id is unique and never null it is that key.  Otherwise the rows are
+    doc_id is a whole number of any width, or null.  Where it is unique and never null it is that key.  Otherwise the rows are
     sorted by (doc_id with nulls first, text) and numbered, so repeated rows are
     ordered too; the numbered table is written once, which makes the numbers stable.
     """
@@ -130,6 +141,23 @@ def checked(small: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     return F.broadcast(small) if rows * row_bytes <= BROADCAST_BYTES else small
 
 
+class Taken:
+    """Spans of a text that don't overlap."""
+
+    def __init__(self) -> None:
+        self.begins: list[int] = []
+        self.ends: list[int] = []
+
+    def add(self, a: int, b: int) -> bool:
+        """Takes a span unless it overlaps one that was taken before."""
+        i = bisect.bisect_right(self.ends, a)
+        if i < len(self.begins) and self.begins[i] < b:
+            return False
+        self.begins.insert(i, a)
+        self.ends.insert(i, b)
+        return True
+
+
 # ---------------------------------------------------------------- words in bulk
 
 
@@ -296,18 +324,21 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: list[str], least: int = 1 <
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of edges (a, b): root is the least node that is connected with it.
 
-    Alternating large-star and small-star steps, each a shuffle by node; a round
-    is checkpointed, since the loop would else grow the lineage.
+    Alternating large-star and small-star steps.  The least neighbour of each node is
+    an aggregate that combines before its shuffle, joined back to the edges, a join
+    that Spark can split where a node has most of them; so no task holds all
+    neighbours of a node.  A round is checkpointed, since the loop would else grow
+    the lineage.
     """
     e = checkpoint(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
     seen = None
     while True:
         sym = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        w = Window.partitionBy("u")
-        large = sym.withColumn("m", F.least("u", F.min("v").over(w))).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        small = large.withColumn("m", F.min("v").over(w))
-        small = small.select("u", F.col("m").alias("v")).unionByName(small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
-        e = checkpoint(small)
+        least = sym.groupBy("u").agg(F.min("v").alias("m"))
+        large = sym.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        links = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        e = checkpoint(least.select("u", F.col("m").alias("v")).unionByName(links).distinct())
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             break

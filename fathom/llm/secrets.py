@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import columns, packed, slices, table
+from .common import Taken, packed, recounted, slices, table
 
 _B62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 #: A generic value must have so many bits of entropy a character.
@@ -173,14 +173,22 @@ class Scanner:
                 if _random(counts, end - at) or _random(Counter(first), len(first)):
                     found.append((i, at, end, False))
         out: list[Finding] = []
-        taken: list[tuple[int, int]] = []
+        taken = Taken()
         for i, a, b, ok in sorted(set(found)):
-            if all(b <= x or a >= y for x, y in taken):
-                taken.append((a, b))
+            if taken.add(a, b):
                 out.append(Finding(self.detectors[i][0].name, a, b, ok))
         return sorted(out, key=lambda f: f.begin)
 
 
+def redacted(text: str, found: list[Finding]) -> str:
+    """text with each finding, which come in order, replaced by its detector's name in brackets."""
+    out, at = [], 0
+    for f in found:
+        out += (text[at : f.begin], f"[{f.detector}]")
+        at = f.end
+    return "".join([*out, text[at:]])
+
+
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     scanner = Scanner()
     for b in batches:
@@ -206,9 +214,8 @@ def _redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = []
             for i, text in enumerate(texts):
                 found = scanner.scan(text)
-                for f in reversed(found):
-                    text = f"{text[: f.begin]}[{f.detector}]{text[f.end :]}"
-                texts[i] = text
+                if found:
+                    texts[i] = redacted(text, found)
                 n.append(len(found))
             keep = [c for c in s.schema.names if c != "text"]
             yield pa.RecordBatch.from_arrays([*(s.column(c) for c in keep), pa.array(texts, pa.string()), pa.array(n, pa.int32())], [*keep, "text", "n_secrets"])
@@ -225,14 +232,20 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
     wins.  begin and end count characters; digest is the SHA-256 of the secret,
     which isn't shown.
 
-    Null and empty texts have no secrets; a null doc_id is kept as such; repeated
-    rows give repeated findings; other columns are ignored.
+    Null and empty texts have no secrets; texts and secrets may be of any length; a
+    null doc_id is kept as such; repeated rows give repeated findings; other columns
+    are ignored; an empty table has no findings.
     """
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scan, "doc_id long, detector string, begin long, end long, verified boolean, digest string")
 
 
 def redact_secrets(docs: DataFrame) -> DataFrame:
-    """docs with each secret in text replaced by its detector's name in brackets, and n_secrets; rows and other columns stay, a column n_secrets is replaced."""
+    """docs with each secret in text replaced by its detector's name in brackets, and n_secrets.
+
+    Rows and other columns stay, a column n_secrets is replaced.  Null and empty texts
+    stay as they are, with 0 secrets; of a text of any length each secret goes to its
+    last character; repeated rows are treated alike; an empty table stays one.
+    """
     base, back = packed(docs, "n_secrets")
     others = [f for f in base.schema if f.name != "text"]
     schema = T.StructType([*others, T.StructField("text", T.StringType()), T.StructField("n_secrets", T.IntegerType())])
@@ -244,6 +257,6 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Redacts secrets; n_chars follows the text."""
-    out = redact_secrets(docs)
-    return out.withColumn("n_chars", F.when(F.col("n_secrets") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*columns(docs))
+    """Redacts secrets; n_chars, where there is one, follows the text.  No row is dropped: null and empty texts, repeated rows and an empty table stay."""
+    base, back = packed(docs)
+    return recounted(redact_secrets(base), F.col("n_secrets") > 0, docs, back)
