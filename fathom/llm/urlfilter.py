@@ -1,4 +1,4 @@
-"""Exact membership of URLs in a list, by a cascade of Bloom filters over all keys of the corpus."""
+"""Exact membership of URLs in a list, by cascades of Bloom filters over all keys of the corpus."""
 
 from __future__ import annotations
 
@@ -11,18 +11,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, mix, table
+from .common import BROADCAST_BYTES, Scratch, checked, mix, table
 
 #: Share of the members of a later level that slip through it.
 LATER_RATE = 0.5
-#: A cascade of more bytes isn't sent to the executors; then keys are looked up by a join.
-MAX_BYTES = 256 << 20
+#: Levels of a cascade; keys that are still confused after them, as those of equal hashes, are listed one by one.
 MAX_LEVELS = 64
-_CHUNK = 1 << 16
-#: Words in host names that put a host on the default list.
-LISTED = r"casino|bets|poker|pills|viagra|porn|xxx|payday"
+#: Keys that one cascade is built over; a larger universe has a cascade for each part of its hashes.
+SHARD_KEYS = 1 << 20
+#: Pages of one shard that a task tests, where cascades come to the pages; a shard of more is dealt to several.
+SHARD_PAGES = 1 << 20
+#: A key is on the list of the query if any of its pages has so many paragraphs at least.
+MANY_PARAGRAPHS = 8
+_URL = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)(?::[0-9]*)?([^?#]*)"
 
-_HASHES = "h1 long, h2 long"
+_SALT = 0x51ED270B
 
 
 class Level(NamedTuple):
@@ -32,9 +35,9 @@ class Level(NamedTuple):
 
 
 def url_key(url: Column) -> Column:
-    """The host of a URL in lower case, without "www."; null where there is none."""
-    host = F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1)
-    return F.nullif(F.regexp_replace(host, r"^www\.", ""), F.lit(""))
+    """Host and path of a URL: the host in lower case, without user, port and "www.", the path without a slash at its end; null where there is no host."""
+    host = F.regexp_replace(F.lower(F.regexp_extract(url, _URL, 1)), r"^www\.", "")
+    return F.when(host != "", F.concat(host, F.regexp_replace(F.regexp_extract(url, _URL, 2), "/+$", "")))
 
 
 def _shape(members: int, rate: float) -> tuple[int, int]:
@@ -49,35 +52,6 @@ def _places(h1: np.ndarray, h2: np.ndarray, level: int, bits: int, hashes: int)
     return (mix(a[:, None] + np.arange(hashes, dtype=np.uint64)[None, :] * b[:, None]) % np.uint64(bits)).astype(np.int64)
 
 
-def _set(level: int, bits: int, hashes: int):
-    """The bits that a partition's keys set, in chunks."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks: dict[int, np.ndarray] = {}
-        for b in batches:
-            at = np.unique(_places(b.column("h1").to_numpy(), b.column("h2").to_numpy(), level, bits, hashes))
-            begin = np.flatnonzero(np.diff(at // _CHUNK, prepend=-1))
-            for part in np.split(at, begin[1:]) if len(at) else []:
-                c = chunks.setdefault(int(part[0] // _CHUNK), np.zeros(_CHUNK, bool))
-                c[part % _CHUNK] = True
-        yield _packed(chunks)
-
-    return run
-
-
-def _packed(chunks: dict[int, np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(chunks), pa.int64()), pa.array([np.packbits(c).tobytes() for c in chunks.values()], pa.binary())], ["chunk", "bits"])
-
-
-def _or(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    chunks: dict[int, np.ndarray] = {}
-    for b in batches:
-        for i, x in zip(b.column("chunk").to_pylist(), b.column("bits").to_pylist(), strict=True):
-            x = np.unpackbits(np.frombuffer(x, np.uint8)).astype(bool)
-            chunks[i] = chunks[i] | x if i in chunks else x
-    yield _packed(chunks)
-
-
 def _hit(h1: np.ndarray, h2: np.ndarray, level: int, f: Level) -> np.ndarray:
     at = _places(h1, h2, level, f.bits, f.hashes)
     return ((f.filter[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(axis=1)
@@ -95,94 +69,170 @@ def contains(levels: list[Level], h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
     return out
 
 
-def _positives(level: int, f: Level):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield b.filter(pa.array(_hit(b.column("h1").to_numpy(), b.column("h2").to_numpy(), level, f)))
-
-    return run
-
-
-def build(listed: DataFrame, others: DataFrame, scratch: Scratch, *, max_bytes: int = MAX_BYTES) -> list[Level] | None:
-    """The levels that tell listed from others, tables (h1, h2) of hashes without repeats; None if they exceed max_bytes.
+def cascade(h1: np.ndarray, h2: np.ndarray, on: np.ndarray) -> tuple[list[Level], np.ndarray]:
+    """The levels that tell keys that are on from the others, and which keys they leave confused.
 
     Level 0 holds the listed keys; level 1 those of the others that level 0 lets
-    through, level 2 the listed ones that level 1 lets through, and so on until
-    none are.  Keys outside both tables would not be told exactly.
+    through, level 2 the listed ones that level 1 lets through, and so on until none
+    are.  Keys outside of these would not be told exactly.
     """
-    members, rest = listed, others
-    n, m = members.count(), rest.count()
+    members, rest = np.flatnonzero(on), np.flatnonzero(~on)
     levels: list[Level] = []
-    total = 0
-    while n:
-        if len(levels) == MAX_LEVELS:
-            raise ValueError("two keys have the same hashes")
+    m = len(rest)
+    while len(members) and len(levels) < MAX_LEVELS:
         k = len(levels)
-        rate = min(0.5, max(2.0**-32, math.sqrt(0.5) * n / max(m, 1))) if k == 0 else LATER_RATE
-        bits, hashes = _shape(n, rate)
-        total += bits // 8
-        if total > max_bytes:
-            return None
-        merged = members.mapInArrow(_set(k, bits, hashes), "chunk long, bits binary").repartition("chunk").mapInArrow(_or, "chunk long, bits binary").collect()
-        whole = np.zeros(-(-bits // _CHUNK) * _CHUNK // 8, np.uint8)
-        for i, x in merged:
-            whole[i * _CHUNK // 8 : (i + 1) * _CHUNK // 8] = np.frombuffer(x, np.uint8)
-        levels.append(Level(bits, hashes, whole))
-        passed = scratch.write(f"level{k}", rest.mapInArrow(_positives(k, levels[-1]), _HASHES))
-        members, rest, m = passed, members, n
-        n = members.count()
-    return levels
-
-
-def _test(levels: list[Level]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ok = contains(levels, b.column("__h1").to_numpy(), b.column("__h2").to_numpy()) & b.column("__some").to_numpy(zero_copy_only=False)
-            keep = [c for c in b.schema.names if not c.startswith("__")]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(ok)], [*keep, "listed"])
+        rate = min(0.5, max(2.0**-32, math.sqrt(0.5) * len(members) / max(m, 1))) if k == 0 else LATER_RATE
+        bits, hashes = _shape(len(members), rate)
+        whole = np.zeros(-(-bits // 8) * 8, bool)
+        for i in range(0, len(members), 1 << 16):
+            part = members[i : i + (1 << 16)]
+            whole[_places(h1[part], h2[part], k, bits, hashes)] = True
+        levels.append(Level(bits, hashes, np.packbits(whole)))
+        passed = [part[_hit(h1[part], h2[part], k, levels[-1])] for part in np.split(rest, range(1 << 16, len(rest), 1 << 16))]
+        members, rest, m = np.concatenate(passed), members, len(members)
+    return levels, np.concatenate([members, rest]) if len(members) else members
+
+
+_CASCADES = "shard int, level int, bits long, hashes int, filter binary, h1 long, h2 long"
+
+
+def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The levels of each shard's cascade, and rows of level -1 with the hashes that it leaves confused; rows come sorted by shard."""
+    names = ["shard", "level", "bits", "hashes", "filter", "h1", "h2"]
+    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
+
+    def made(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(held)
+        shard = t.column("shard")[0].as_py()
+        h1, h2, on = (t.column(c).to_numpy() for c in ("h1", "h2", "on"))
+        levels, confused = cascade(h1, h2, on)
+        rows = [(shard, k, f.bits, f.hashes, f.filter.tobytes(), None, None) for k, f in enumerate(levels)]
+        rows += [(shard, -1, None, None, None, int(a), int(b)) for a, b in zip(h1[confused], h2[confused], strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [()] * 7, kinds, strict=True)], names)
+
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        at = 0
+        shard = b.column("shard").to_numpy()
+        for end in [*(np.flatnonzero(np.diff(shard)) + 1), len(shard)]:
+            if held and held[-1].column("shard")[0].as_py() != shard[at]:
+                yield made(held)
+                held = []
+            if end > at:
+                held.append(b.slice(at, end - at))
+            at = end
+    if held:
+        yield made(held)
 
-    return run
 
+def shard_of(shards: int) -> Column:
+    return F.pmod(F.col("h1"), F.lit(shards)).cast("int")
 
-def _hashes(key: Column) -> list[Column]:
-    return [F.xxhash64(key), F.xxhash64(key, F.lit(0x51ED270B))]
 
+def build(universe: DataFrame, shards: int) -> DataFrame:
+    """The cascades of a universe (h1, h2, on), one for each of so many shards."""
+    some = universe.select(shard_of(shards).alias("shard"), "h1", "h2", "on").repartition(shards, "shard").sortWithinPartitions("shard")
+    return some.mapInArrow(_build, _CASCADES)
 
-def filter_urls(pages: DataFrame, listed: DataFrame, *, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """(page_id, url, host, listed) for each of pages (page_id, url): whether its host is among those of listed (host).
 
-    The universe is all hosts of the pages; listed hosts that no page has are
-    irrelevant.  A cascade of Bloom filters is built over it, exact for each of its
-    keys (two keys would have to agree in 128 bits to be confused, which is
-    reported), so pages are neither joined nor shuffled.  Its size grows with the
-    list and is checked: beyond max_bytes keys are looked up by a join instead.
+def _levels(rows) -> dict[int, list[Level]]:
+    out: dict[int, list[Level]] = {}
+    for r in sorted((r for r in rows if r["level"] >= 0), key=lambda r: (r["shard"], r["level"])):
+        out.setdefault(r["shard"], []).append(Level(r["bits"], r["hashes"], np.frombuffer(r["filter"], np.uint8)))
+    return out
 
-    A null URL, or one without a host, has a null host and isn't listed.  Repeated
-    pages stay; null page_ids stay; null or repeated hosts in the list and other
-    columns are ignored; an empty list lists nothing.
+
+def _told(b: pa.RecordBatch, known: dict[int, list[Level]]) -> pa.RecordBatch:
+    h1, h2, shard = (b.column(c).to_numpy(zero_copy_only=False) for c in ("h1", "h2", "shard"))
+    ok = np.zeros(b.num_rows, bool)
+    for k in np.unique(shard):
+        if k in known:
+            mine = np.flatnonzero(shard == k)
+            ok[mine] = contains(known[k], h1[mine], h2[mine])
+    ok &= b.column("key").is_valid().to_numpy(zero_copy_only=False)
+    keep = ["page_id", "url", "key", "h1", "h2"]
+    return pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(ok)], [*keep, "listed"])
+
+
+def _test(known: dict[int, list[Level]]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield _told(b, known)
+
+    return run
+
+
+def _test_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pages of a shard come after the levels of its cascade."""
+    known: dict[int, dict[int, Level]] = {}
+    for b in batches:
+        if not b.num_rows:
+            continue
+        now = b.column("shard")[0].as_py()
+        known = {k: v for k, v in known.items() if k >= now}
+        is_level = b.column("level").is_valid().to_numpy(zero_copy_only=False)
+        for r in b.filter(pa.array(is_level)).to_pylist():
+            known.setdefault(r["shard"], {})[r["level"]] = Level(r["bits"], r["hashes"], np.frombuffer(r["filter"], np.uint8))
+        pages = b.filter(pa.array(~is_level))
+        if pages.num_rows:
+            yield _told(pages, {k: [v[i] for i in sorted(v)] for k, v in known.items()})
+
+
+def filter_urls(pages: DataFrame, listed: DataFrame, *, shard_keys: int = SHARD_KEYS, shard_pages: int = SHARD_PAGES, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """(page_id, url, key, listed) for each of pages (page_id, url): whether its key is among those of listed (key).
+
+    The universe is all keys of the pages (host and path, by url_key); listed keys that
+    no page has are irrelevant.  It is cut by hash into shards of about shard_keys keys, and a cascade
+    of Bloom filters is built over each, exact for its keys; keys that two independent
+    64-bit hashes don't tell apart are carried in an explicit list.  Where all
+    cascades together are less than broadcast_bytes they are sent to the tasks, and
+    pages are neither joined nor shuffled; else the pages of a shard come to its
+    cascade, dealt to several tasks if there are more than shard_pages.  The method
+    and the result are the same at any size.
+
+    A null URL, or one without a host, has a null key and isn't listed.  Repeated
+    pages stay; null page_ids stay; null or repeated keys in the list and other
+    columns are ignored; an empty list lists nothing; URLs may be of any length; no
+    pages give no rows.
     """
     scratch = Scratch(pages.sparkSession)
-    base = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", url_key(F.col("url")).alias("host"))
-    hosts = base.select("host").filter(F.col("host").isNotNull()).distinct()
-    wanted = listed.select(F.col("host").cast("string").alias("host")).filter(F.col("host").isNotNull()).distinct().withColumn("on", F.lit(True))
-    universe = hosts.join(wanted, "host", "left").select(*[h.alias(n) for h, n in zip(_hashes(F.col("host")), ("h1", "h2"), strict=True)], F.coalesce("on", F.lit(False)).alias("on"))
-    universe = scratch.write("universe", universe)
-    levels = build(universe.filter("on").select("h1", "h2"), universe.filter("not on").select("h1", "h2"), scratch, max_bytes=max_bytes)
-    if levels is None:
-        return base.join(wanted, "host", "left").select("page_id", "url", "host", F.coalesce("on", F.lit(False)).alias("listed"))
-    h1, h2 = _hashes(F.col("host"))
-    rows = base.withColumns({"__h1": h1, "__h2": h2, "__some": F.col("host").isNotNull()})
-    return rows.mapInArrow(_test(levels), "page_id long, url string, host string, listed boolean")
+    h1, h2 = F.xxhash64("key"), F.xxhash64(F.lit(_SALT), "key")
+    base = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", url_key(F.col("url")).alias("key")).withColumns({"h1": h1, "h2": h2})
+    keys = base.filter(F.col("key").isNotNull()).select("key").distinct()
+    wanted = listed.select(F.col("key").cast("string").alias("key")).filter(F.col("key").isNotNull()).distinct().withColumn("on", F.lit(True))
+    universe = scratch.write("universe", keys.join(wanted, "key", "left").select("key", h1.alias("h1"), h2.alias("h2"), F.coalesce("on", F.lit(False)).alias("on")))
+    shards = max(1, -(-universe.count() // shard_keys))
+    cascades = scratch.write("cascades", build(universe, shards))
+    size, confused = cascades.agg(F.coalesce(F.sum(F.octet_length("filter")), F.lit(0)), F.count(F.when(F.col("level") < 0, 1))).first()
+    base = base.withColumn("shard", shard_of(shards))
+    names = "page_id long, url string, key string, h1 long, h2 long, listed boolean"
+    if size <= broadcast_bytes:
+        out = base.mapInArrow(_test(_levels(cascades.filter("level >= 0").collect())), names)
+    else:
+        many = base.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / shard_pages).cast("int").alias("parts"))
+        many = scratch.write("many", many)
+        parts = F.coalesce("parts", F.lit(1))
+        dealt = base.join(checked(many, shards, 16), "shard", "left").withColumn("part", F.pmod(F.xxhash64("url", "page_id"), parts).cast("int")).drop("parts")
+        copies = cascades.filter("level >= 0").join(checked(many, shards, 16), "shard").select("shard", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), "level", "bits", "hashes", "filter")
+        both = dealt.unionByName(copies, allowMissingColumns=True).repartition("shard", "part").sortWithinPartitions("shard", "part", F.col("level").asc_nulls_last())
+        out = both.mapInArrow(_test_sorted, names)
+    if confused:
+        wrong = cascades.filter("level < 0").select("h1", "h2").distinct().join(universe, ["h1", "h2"]).select(F.col("key").alias("known"), F.col("on").alias("so"))
+        out = out.join(checked(wrong, confused, 128), out["key"] == wrong["known"], "left").withColumn("listed", F.coalesce("so", "listed"))
+    return out.select("page_id", "url", "key", "listed")
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    host = url_key(F.col("url"))
-    return filter_urls(pages, pages.select(host.alias("host")).filter(F.col("host").rlike(LISTED)).distinct())
-
-
-_SQL_HOST = r"nullif(regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1), '^www\.', ''), '')"
-OP7_SQL = f"""
-SELECT page_id, url, {_SQL_HOST} AS host, coalesce(regexp_matches({_SQL_HOST}, '{LISTED}'), false) AS listed
-FROM pages
+    """No table holds a list, so it is made of what pages hold: the keys of which any page has MANY_PARAGRAPHS paragraphs."""
+    pages = table(spark, sf_dir, "pages")
+    long = F.regexp_count("html", F.lit("<p>")) >= MANY_PARAGRAPHS
+    return filter_urls(pages.select("page_id", "url"), pages.filter(long).select(url_key(F.col("url")).alias("key")))
+
+
+OP7_SQL = rf"""
+WITH h AS (SELECT page_id, url, html, regexp_replace(lower(regexp_extract(url, '{_URL}', 1)), '^www\.', '') AS host FROM pages),
+p AS (SELECT page_id, url, html, CASE WHEN host <> '' THEN concat(host, regexp_replace(regexp_extract(url, '{_URL}', 2), '/+$', '')) END AS key FROM h),
+list AS (SELECT DISTINCT key FROM p WHERE key IS NOT NULL AND len(regexp_extract_all(html, '<p>')) >= {MANY_PARAGRAPHS})
+SELECT page_id, url, key, key IS NOT NULL AND key IN (SELECT key FROM list) AS listed
+FROM p
 """
