@@ -11,13 +11,17 @@ from typing import NamedTuple
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import slices, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
+#: The id that ends a document.
+END = 2
 #: Words and pairs of pieces that a worker remembers; it forgets all when there are more.
 REMEMBER = 1 << 19
 #: Longer words aren't remembered.
@@ -58,7 +62,7 @@ def _fields(b: bytes) -> Iterator[tuple[int, int | bytes]]:
 
 
 def read_model(b: bytes) -> list[Piece]:
-    """The pieces of a model; it must be of the merge type, without normalization, and put a space before the text."""
+    """The pieces of a model; it must be of the merge type, without normalization, put a space before the text, and have no pieces that are user-defined or unused, which merging treats apart, and 65,536 at most."""
     pieces, kind, name, dummy, extra = [], 1, b"", True, True
     for k, v in _fields(b):
         if k == 1:
@@ -71,6 +75,8 @@ def read_model(b: bytes) -> list[Piece]:
             name, dummy, extra = f.get(1, b""), bool(f.get(3, 1)), bool(f.get(4, 1))
     if kind != 2 or name not in (b"", b"identity") or not dummy or extra:
         raise ValueError("only models of the merge type, without normalization and with a dummy prefix, are supported")
+    if bad := [p.text for p in pieces if p.kind in (4, 5)]:
+        raise ValueError(f"user-defined and unused pieces aren't supported: {bad[0]!r}")
     if len(pieces) > 1 << 16:
         raise ValueError("pieces must fit 16 bits")
     return pieces
@@ -81,19 +87,21 @@ class Codec:
 
     def __init__(self, model: bytes):
         self.pieces = read_model(model)
-        self.ids = {p.text: i for i, p in enumerate(self.pieces) if p.kind in (1, 4)}
+        self.ids = {p.text: i for i, p in enumerate(self.pieces) if p.kind == 1}
         self.scores = [p.score for p in self.pieces]
         self.unknown = next(i for i, p in enumerate(self.pieces) if p.kind == 2)
         self.bytes_ = {int(p.text[3:5], 16): i for i, p in enumerate(self.pieces) if p.kind == 6}
         self.out = [bytes([int(p.text[3:5], 16)]) if p.kind == 6 else b"" if p.kind == 3 else " ⁇ ".encode() if p.kind == 2 else p.text.replace(SPACE, " ").encode() for p in self.pieces]
         self.compatible: dict[int, bool] = {}
         self.words = _Words(self)
+        #: Whether no piece reaches from one word into the next, so that words can be encoded one by one.
+        self.by_words = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
         self.runs: dict[int, list[int]] = {}
         self.chars = {p for p in self.ids if len(p) == 1}
         self.automaton = ahocorasick.Automaton()
         for p, i in self.ids.items():
             # What merging never makes of its own text can't occur in an encoding.
-            if SPACE * 2 not in p and self.merge(p) == [i]:
+            if (SPACE * 2 not in p or not self.by_words) and self.merge(p) == [i]:
                 self.automaton.add_word(p, (len(p), i))
         self.automaton.make_automaton()
 
@@ -148,7 +156,9 @@ class Codec:
         From each place the longest piece that the automaton found there is tried,
         then shorter ones; a piece is taken if it fits the one before it and its end
         isn't known to lead nowhere; if none can be, this place is marked as failed in
-        the bitfield and the piece before gives way to a shorter one.
+        the bitfield and the piece before gives way to a shorter one.  Where no path is
+        found, which can't be unless scores contradict the order of merges, the text is
+        merged by the definition.
         """
         n = len(text)
         at_place: list[list[tuple[int, int]]] = [[] for _ in range(n)]
@@ -210,9 +220,11 @@ class Codec:
         """The ids of a text; they are 16 bits wide."""
         if not text:
             return np.zeros(0, np.uint16)
+        if not self.by_words:
+            return np.array(self.word(SPACE + text.replace(" ", SPACE)), np.uint16)
         if "  " not in text and SPACE not in text and " \n" not in text and not text.startswith((" ", "\n")):
             # Neither a word nor a line break merges with what comes before it, so each is encoded once and remembered.
-            return np.frombuffer(b"".join(map(self.words.__getitem__, text.replace("\n", " \n").split(" "))), np.uint16)
+            return np.frombuffer(b"".join(self.words[w][0] for w in text.replace("\n", " \n").split(" ")), np.uint16)
         out: list[int] = []
         spaces = 1
         for k, body in enumerate(text.replace(SPACE, " ").split(" ")):
@@ -231,15 +243,16 @@ class Codec:
 
 
 class _Words(dict):
-    """Encodings by word, as bytes.  A word comes after a space, unless it begins with a line break."""
+    """(encoding as bytes, whether it decodes to the word) by word.  A word comes after a space, unless it begins with a line break."""
 
     def __init__(self, codec: Codec):
         super().__init__()
         self.codec = codec
 
-    def __missing__(self, word: str) -> bytes:
-        ids = self.codec.word(word if word[:1] == "\n" else SPACE + word)
-        out = np.array(ids, np.uint16).tobytes()
+    def __missing__(self, word: str) -> tuple[bytes, bool]:
+        spaced = word if word[:1] == "\n" else " " + word
+        ids = self.codec.word(spaced.replace(" ", SPACE))
+        out = np.array(ids, np.uint16).tobytes(), b"".join(map(self.codec.out.__getitem__, ids)) == spaced.encode()
         if len(word) <= LONG:
             if len(self) >= REMEMBER:
                 self.clear()
@@ -247,6 +260,36 @@ class _Words(dict):
         return out
 
 
+class Words:
+    """The words of many texts at once: each distinct one is looked up once.
+
+    fast: which texts are made of words alone; size, exact: tokens, and whether they
+    decode to the text, of each of these.
+    """
+
+    def __init__(self, codec: Codec, texts: pa.Array):
+        odd = pc.or_(pc.or_(pc.match_substring(texts, "  "), pc.match_substring(texts, SPACE)), pc.or_(pc.match_substring(texts, " \n"), pc.match_substring_regex(texts, "^[ \n]")))
+        fast = pc.and_(pc.invert(odd), pc.not_equal(texts, ""))
+        self.fast = pc.fill_null(fast, False).to_numpy(zero_copy_only=False) & codec.by_words
+        words = pc.split_pattern(pc.replace_substring(texts.filter(pa.array(self.fast)), "\n", " \n"), " ")
+        coded = words.flatten().dictionary_encode()
+        known = [codec.words[w] for w in coded.dictionary.to_pylist()]
+        self.codes = coded.indices.to_numpy()
+        self.each = np.array([len(x) // 2 for x, _ in known], np.int64)
+        self.flat = np.frombuffer(b"".join(x for x, _ in known), np.uint16)
+        begin = np.concatenate([[0], np.cumsum(pc.list_value_length(words).to_numpy(zero_copy_only=False))]).astype(np.int64)[:-1]
+        ok = np.array([x for _, x in known], bool)
+        self.size = np.add.reduceat(self.each[self.codes], begin) if len(begin) else np.zeros(0, np.int64)
+        self.exact = np.logical_and.reduceat(ok[self.codes], begin) if len(begin) else np.zeros(0, bool)
+
+    def ids(self) -> np.ndarray:
+        """The tokens of all these texts."""
+        n = self.each[self.codes]
+        ends = np.cumsum(n)
+        begin = np.cumsum(self.each) - self.each
+        return self.flat[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(begin[self.codes] - (ends - n), n)]
+
+
 def _codec(model: bytes) -> Codec:
     """A worker keeps its codec, with what it remembers, from task to task."""
     kept = sys.modules.setdefault("fathom_kept", types.ModuleType("fathom_kept"))
@@ -260,14 +303,38 @@ def _encode(model: bytes):
         codec = _codec(model)
         for b in batches:
             for s in slices(b, "text", 4 << 20):
-                texts = s.column("text").to_pylist()
-                ids = [codec.encode(t) if t is not None else None for t in texts]
-                same = [None if t is None else codec.decode(i) == t for t, i in zip(texts, ids, strict=True)]
-                n = np.array([0 if i is None else len(i) for i in ids], np.int64)
-                flat = pa.array(np.concatenate([i for i in ids if i is not None] or [np.zeros(0, np.uint16)]).astype(np.int32))
-                off = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32), mask=np.array([i is None for i in ids] + [False]))
+                words = Words(codec, s.column("text"))
+                n, same = np.zeros(s.num_rows, np.int64), np.zeros(s.num_rows, bool)
+                n[words.fast], same[words.fast] = words.size, words.exact
+                parts = np.split(words.ids(), np.cumsum(words.size)[:-1]) if len(words.size) else []
+                null = ~s.column("text").is_valid().to_numpy(zero_copy_only=False)
+                if not (words.fast & same).all():
+                    by = dict(zip(np.flatnonzero(words.fast).tolist(), parts, strict=True))
+                    for i in np.flatnonzero(~(words.fast & same) & ~null).tolist():
+                        text = s.column("text")[i].as_py()
+                        ids = by[i] if i in by else codec.encode(text)
+                        by[i], n[i], same[i] = ids, len(ids), codec.decode(ids) == text
+                    parts = [by[i] for i in sorted(by)]
+                flat = pa.array(np.concatenate([*parts, np.zeros(0, np.uint16)]).astype(np.int32))
+                off = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32), mask=np.append(null, False))
+                others = [c for c in s.schema.names if c != "text"]
+                yield pa.RecordBatch.from_arrays([*(s.column(c) for c in others), pa.ListArray.from_arrays(off, flat), pa.array(n), pa.array(same, mask=null)], [*others, "ids", "n_tokens", "exact"])
+
+    return run
+
+
+def _count(model: bytes):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = _codec(model)
+        for b in batches:
+            for s in slices(b, "text", 4 << 20):
+                words = Words(codec, s.column("text"))
+                n = np.zeros(s.num_rows, np.int64)
+                n[words.fast] = words.size
+                for i in np.flatnonzero(~words.fast).tolist():
+                    n[i] = len(codec.encode(s.column("text")[i].as_py() or ""))
                 others = [c for c in s.schema.names if c != "text"]
-                yield pa.RecordBatch.from_arrays([*(s.column(c) for c in others), pa.ListArray.from_arrays(off, flat), pa.array(n), pa.array(same, pa.bool_())], [*others, "ids", "n_tokens", "exact"])
+                yield pa.RecordBatch.from_arrays([*(s.column(c) for c in others), pa.array(n)], [*others, "n_tokens"])
 
     return run
 
@@ -294,12 +361,20 @@ def encode(docs: DataFrame, *, model: str = MODEL) -> DataFrame:
     Whole texts are encoded, however long.  exact says whether decoding gives the
     text back; it doesn't where the text holds U+2581, which the model takes for a
     space.  A null text has null ids and exact and 0 tokens, an empty one no ids.
-    Null doc_ids and repeated rows stay; other columns are ignored.  The model is
-    read on the driver and sent to the executors.
+    Null doc_ids and repeated rows stay; other columns are ignored; an empty table
+    gives no rows.  The model is read on the driver and sent to the executors; one
+    that isn't of the merge type, normalizes texts, or has pieces that are
+    user-defined, unused or more than 65,536 is refused.
     """
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_encode(_load(model)), "doc_id long, ids array<int>, n_tokens long, exact boolean")
 
 
+def count(docs: DataFrame, *, model: str = MODEL) -> DataFrame:
+    """docs (text and other columns) with n_tokens, the number of ids that encode gives, in the place of text."""
+    rest = [f for f in docs.schema if f.name != "text"]
+    return docs.select(*(f"`{f.name}`" for f in rest), "text").mapInArrow(_count(_load(model)), T.StructType([*rest, T.StructField("n_tokens", T.LongType())]))
+
+
 def decode(encoded: DataFrame, *, model: str = MODEL) -> DataFrame:
     """(doc_id, text) of encoded (doc_id, ids); null ids give null, no ids an empty text, null among ids is passed over."""
     return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(_decode(_load(model)), "doc_id long, text string")

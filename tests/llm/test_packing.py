@@ -1,53 +1,70 @@
-"""Best-fit packing: the sweep against a search of all gaps, and what must hold of any packing."""
+"""Best-fit packing: the query against one machine's run of the same rounds, sweeps against a search of all gaps, and what must hold of any packing."""
 
 import math
 from collections import Counter, defaultdict
 
 import numpy as np
-import pyarrow as pa
 import pytest
 
 from fathom.llm import packing as P
+from fathom.llm import spm
 
 from .conftest import EDGES
 
 
-def table(pieces, gaps):
-    rows = [(P.WAITING, i, 0, None, s, 0) for i, s in pieces] + [(P.GAP, None, None, b, s, 0) for b, s in gaps]
-    rows.sort(key=lambda r: (r[0], -r[4], -1 if r[1] is None else r[1], r[3] or 0))
-    c = list(zip(*rows))
-    return pa.table({"kind": pa.array(c[0], pa.int32()), "doc_id": pa.array(c[1], pa.int64()), "piece": pa.array(c[2], pa.int32()), "bin": pa.array(c[3], pa.int64()), "size": pa.array(c[4], pa.int32()), "part": pa.array(c[5], pa.int32())})
+@pytest.fixture(scope="module")
+def codec():
+    return spm.Codec(spm._load(spm.MODEL))
 
 
 @pytest.mark.parametrize("seed", range(8))
-def test_sweep_is_best_fit(seed):
+@pytest.mark.parametrize("ranges", [1, 2, 7])
+def test_sweeps_are_best_fit(seed, ranges):
+    """Whole or in ranges with what they have left matched across: each piece, from the longest down, has the least gap left that holds it."""
     rng = np.random.default_rng(seed)
-    pieces = [(i, int(rng.integers(1, 40))) for i in range(60)]
-    gaps = [(b, int(rng.integers(1, 50))) for b in range(30)]
-    out = P._match(table(pieces, gaps), 1, 50).to_pylist()
-    left = dict(gaps)
-    want = {}
-    for i, s in sorted(pieces, key=lambda p: (-p[1], p[0])):
-        fits = [g for g in left.values() if g >= s]
-        if fits:
-            want[i] = min(fits)
-            # Which of equal gaps it takes makes no difference to the sizes.
-            b = next(b for b, g in left.items() if g == min(fits))
-            left[b] -= s
-    placed = {r["doc_id"]: 50 - r["at"] for r in out if r["kind"] == P.PLACED}
-    assert placed == want
-    assert Counter(g for g in left.values() if g) == Counter(r["size"] for r in out if r["kind"] == P.GAP)
-
-
-def sizes(text):
-    return len((text or "").split()) + 1
-
-
-def holds(rows, docs, capacity):
+    rows = sorted([(int(s), P.WAITING, i) for i, s in enumerate(rng.integers(1, 40, 60))] + [(int(s), P.GAP, i) for i, s in enumerate(rng.integers(1, 50, 30))])
+    got, left, free = {}, {}, {}
+    for r, part in enumerate(np.array_split(np.arange(len(rows)), ranges)):
+        p, q, rest, gaps = P.matched(np.array([rows[i][1] for i in part]))
+        got |= {rows[part[a]][2]: rows[part[b]][2] for a, b in zip(p, q, strict=True)}
+        left[r], free[r] = [rows[part[i]] for i in rest][::-1], [rows[part[i]] for i in gaps]
+    for a, i, b, j, n in P.across({r: len(x) for r, x in left.items()}, {r: len(x) for r, x in free.items()}):
+        got |= {x[2]: y[2] for x, y in zip(left[a][i : i + n], free[b][j : j + n], strict=True)}
+    want, open_ = {}, [(s, i) for s, k, i in rows if k == P.GAP]
+    for s, _, i in sorted((r for r in rows if r[1] == P.WAITING), reverse=True):
+        if fits := [g for g in open_ if g[0] >= s]:
+            want[i] = min(fits)[1]
+            open_.remove(min(fits))
+    assert got == want
+
+
+def sizes(codec, text):
+    return len(codec.encode(text or "")) + 1
+
+
+def one_machine(sizes_, capacity):
+    """(id: (bin, at)) of pieces (id: size), by the rounds that pack describes, a piece at a time; small pieces aren't strung here."""
+    waiting, gaps, out, bins = dict(sizes_), {}, {}, 0
+    while waiting:
+        fresh = P.new_bins(Counter(waiting.values()), Counter(g for g in gaps.values() if g >= min(waiting.values())) if gaps else {}, capacity) if not gaps or max(waiting.values()) > max(gaps.values()) else 0
+        for _ in range(fresh):
+            gaps[bins] = capacity
+            bins += 1
+        used = set()
+        for i, s in sorted(waiting.items(), key=lambda x: -x[1]):
+            fits = sorted((g, b) for b, g in gaps.items() if g >= s and b not in used)
+            if fits:
+                g, b = fits[0]
+                used.add(b)
+                out[i] = (b, capacity - g)
+        for i, (b, _) in out.items():
+            if i in waiting:
+                gaps[b] -= waiting.pop(i)
+    return out, bins
+
+
+def holds(rows, total, capacity):
     """All tokens of all documents are placed once, and bins are filled without overlaps or holes."""
-    total = Counter()
-    for k, t in docs:
-        total[k] += sizes(t)
     got = Counter()
     bins = defaultdict(list)
     for r in rows:
@@ -64,30 +81,71 @@ def holds(rows, docs, capacity):
     return len(bins)
 
 
-@pytest.mark.parametrize("capacity", [64, 512, 4096])
-def test_packs_all_and_tightly(documents, capacity):
-    docs = [(r.doc_id, r.text) for r in documents.collect()]
-    n = holds(P.pack(documents, capacity=capacity).collect(), docs, capacity)
-    least = math.ceil(sum(sizes(t) for _, t in docs) / capacity)
-    assert n <= 1.1 * least + 2
+def totals(codec, rows):
+    out = Counter()
+    for k, t in rows:
+        out[k] += sizes(codec, t)
+    return out
 
 
-def test_several_ranges_and_salts(documents):
-    docs = [(r.doc_id, r.text) for r in documents.collect()]
-    n = holds(P.pack(documents, capacity=512, sweep_rows=64).collect(), docs, 512)
-    assert n <= 1.2 * math.ceil(sum(sizes(t) for _, t in docs) / 512) + 8
+@pytest.mark.parametrize("ranges", [1 << 17, 40])
+def test_equals_one_machine(spark, documents, codec, ranges):
+    """The sizes in each bin, for one range and for several; pieces of less than a 32nd, which would be strung, are left out."""
+    capacity = 4096
+    docs = [(r.doc_id, r.text) for r in documents.collect() if capacity // 32 < sizes(codec, r.text) < capacity]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = P.pack(df.repartition(3), capacity=capacity, sweep_rows=ranges).collect()
+    want, bins = one_machine({k: sizes(codec, t) for k, t in docs}, capacity)
+    shape = lambda x: Counter(tuple(sorted(v)) for v in x.values())
+    got, expected = defaultdict(list), defaultdict(list)
+    for r in rows:
+        got[r.bin].append((r.at, r.size))
+    for i, (b, at) in want.items():
+        expected[b].append((at, sizes(codec, dict(docs)[i])))
+    assert shape(got) == shape(expected) and len(got) <= bins
+
+
+def test_is_the_same_for_any_number_of_ranges(documents, codec):
+    runs = [sorted(map(tuple, P.pack(documents.repartition(n), capacity=512, sweep_rows=rows).collect()), key=repr) for n, rows in ((1, 1 << 17), (5, 100), (2, 33))]
+    drop = lambda rows: sorted((k, p, at, s) for k, p, b, at, s in rows)
+    assert drop(runs[0]) == drop(runs[1]) == drop(runs[2])
+
+
+@pytest.mark.parametrize("capacity", [64, 4096])
+def test_packs_all_and_tightly(documents, codec, capacity):
+    total = totals(codec, [(r.doc_id, r.text) for r in documents.collect()])
+    n = holds(P.pack(documents, capacity=capacity).collect(), total, capacity)
+    assert n <= 1.1 * math.ceil(sum(total.values()) / capacity) + 2
+
+
+def test_many_small_documents_take_few_rounds(make, codec, monkeypatch):
+    rounds = []
+    real = P._round
+    monkeypatch.setattr(P, "_round", lambda *a: rounds.append(1) or real(*a))
+    rows = [(i, "a") for i in range(20_000)]
+    n = holds(P.pack(make(rows), string_rows=3000).collect(), totals(codec, rows), P.CAPACITY)
+    assert len(rounds) <= 20 and n <= 1.1 * math.ceil(20_000 * sizes(codec, "a") / P.CAPACITY) + 1
 
 
-def test_query(spark, sf, documents):
-    holds(P.op3_best_fit_packing(spark, sf).collect(), [(r.doc_id, r.text) for r in documents.collect()], P.CAPACITY)
+def test_query_and_its_sequences(spark, sf, documents, codec):
+    rows = [(r.doc_id, r.text) for r in documents.collect()]
+    places = P.op3_best_fit_packing(spark, sf)
+    got = places.collect()
+    holds(got, totals(codec, rows), P.CAPACITY)
+    ids = {k: [*codec.encode(t).tolist(), spm.END] for k, t in rows}
+    want = defaultdict(dict)
+    for r in got:
+        want[r.bin][r.at] = ids[r.doc_id][r.piece * P.CAPACITY : r.piece * P.CAPACITY + r.size]
+    made = {r.bin: r.ids for r in P.sequences(places, documents).collect()}
+    assert {b: [x for at in sorted(v) for x in v[at]] for b, v in want.items()} == made
 
 
-def test_edges(spark, make):
+def test_edges(spark, make, codec):
     df = make(EDGES, clash=True)
     out = P.pack(df, capacity=100)
     assert out.columns == ["doc_id", "piece", "bin", "at", "size"]
-    holds(out.collect(), EDGES, 100)
+    holds(out.collect(), totals(codec, EDGES), 100)
     assert P.pack(df.limit(0)).collect() == []
-    holds(P.pack(df, capacity=1).filter("doc_id = 1").collect(), [(1, "")], 1)
+    holds(P.pack(df, capacity=1).filter("doc_id = 1").collect(), totals(codec, [(1, "")]), 1)
     with pytest.raises(ValueError):
         P.pack(df, capacity=0)

@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 
@@ -45,6 +47,57 @@ def test_backtracking_equals_merging(codec):
         assert codec.backtrack(text) == codec.merge(text)
 
 
+def message(*fields):
+    """A protocol buffer of (number, value)."""
+    out = b""
+    for k, v in fields:
+        out += bytes([k << 3 | (0 if isinstance(v, int) else 5 if isinstance(v, float) else 2)])
+        if isinstance(v, float):
+            out += np.float32(v).tobytes()
+        else:
+            out += bytes([v]) if isinstance(v, int) else bytes([len(v)]) + v
+    return out
+
+
+def model(*pieces):
+    """A model of the merge type of pieces (text, kind), earlier ones with the better score."""
+    parts = [(1, message((1, "<unk>".encode()), (2, 0.0), (3, 2)))] + [(1, message((1, p.encode()), (2, -float(i)), (3, k))) for i, (p, k) in enumerate(pieces)]
+    return message(*parts, (2, message((3, 2))), (3, message((1, b"identity"), (3, 1), (4, 0))))
+
+
+def test_pieces_with_inner_spaces():
+    codec = S.Codec(model(("▁a▁b", 1), ("▁a", 1), ("▁b", 1), ("b▁", 1), ("▁", 1), ("a", 1), ("b", 1), ("▁▁", 1)))
+    assert not codec.by_words
+    rng = random.Random(4)
+    for _ in range(300):
+        text = "".join(rng.choice("ab  ") for _ in range(rng.randint(1, 12)))
+        assert codec.encode(text).tolist() == codec.merge("▁" + text.replace(" ", "▁"))
+    assert [codec.pieces[i].text for i in codec.encode("a b")] == ["▁a▁b"]
+    assert S.Words(codec, pa.array(["a b", "a"])).fast.tolist() == [False, False]
+
+
+@pytest.mark.parametrize("kind", [4, 5])
+def test_other_kinds_of_pieces_are_refused(kind):
+    with pytest.raises(ValueError):
+        S.read_model(model(("▁", 1), ("a", 1), ("x", kind)))
+
+
+def test_words_in_bulk(codec):
+    texts = [*TEXTS, None, "plain words only", "some\nlines of\ntext", "x" * 100 + " " + "y" * 100]
+    words = S.Words(codec, pa.array(texts))
+    fast = [t for t, f in zip(texts, words.fast, strict=True) if f]
+    assert "plain words only" in fast and "line\nbreak\n\n" in fast and "a  b" not in fast
+    whole = [codec.encode(t).tolist() for t in fast]
+    assert words.size.tolist() == [len(x) for x in whole] and words.ids().tolist() == [i for x in whole for i in x]
+    assert words.exact.tolist() == [codec.decode(codec.encode(t)) == t for t in fast]
+
+
+def test_counts(make):
+    df = make(EDGES, clash=True)
+    counted = sorted((r.doc_id or -1, r.n_tokens) for r in S.count(df.select("doc_id", "text")).collect())
+    assert counted == sorted((r.doc_id or -1, r.n_tokens) for r in S.encode(df).collect())
+
+
 def test_query(spark, sf, documents, library):
     got = {r.doc_id: r for r in S.op9_sentencepiece(spark, sf).collect()}
     for r in documents.collect():
