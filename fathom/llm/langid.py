@@ -13,16 +13,15 @@ from pyspark.sql import types as T
 
 from .common import columns, packed, raw, slices, table
 
-HIDDEN = 6
-WINDOW = 64
-#: The classifier is fitted on so many labelled documents of each language at most, and so many windows of each.
+HIDDEN = 12
+WINDOW = 128
+#: The classifier is fitted on so many labelled documents of each language at most, all their windows being drawn from.
 TRAIN_DOCS = 200
-TRAIN_WINDOWS = 8
-#: Longer texts are not collected to draw windows of them, but windows are drawn where the text is.
-WHOLE = 64 * 1024
-#: Languages of fewer labelled documents than this aren't learned.
+#: Of a text of more characters than this, so many windows, drawn where the text is, stand for all of them: the driver holds so many bytes of a document at most.
+WHOLE, TRAIN_WINDOWS = 64 * 1024, 1024
+#: Languages of fewer labelled documents than this can't be learned; their documents are classed with the others.
 MIN_DOCS = 5
-STEPS, BATCH, RATE = 240, 256, 0.02
+STEPS, BATCH, RATE = 240, 128, 0.02
 #: A document is rejected if it is of no language to this degree, as a mean over its bytes: numbers and names within prose don't make it none.
 MIN_NONE = 0.75
 #: The class of what is no language: digits, symbols, random letters and bytes.
@@ -161,19 +160,27 @@ def _noise(rng: np.random.Generator, n: int) -> list[bytes]:
     return out
 
 
+def _cut(b: bytes) -> list[bytes]:
+    """All windows of a text."""
+    return [b[i : i + WINDOW] for i in range(0, len(b), WINDOW)]
+
+
 def _draw(b: bytes, rng: np.random.Generator) -> list[bytes]:
-    """At most TRAIN_WINDOWS windows of a text, wherever they lie in it."""
+    """TRAIN_WINDOWS windows of a text, wherever they lie in it."""
     return [b[k * WINDOW : (k + 1) * WINDOW] for k in rng.permutation(-(-len(b) // WINDOW))[:TRAIN_WINDOWS]]
 
 
 def train(texts: list[str | list[bytes]], labels: list[str], *, steps: int = STEPS, hidden: int = HIDDEN, seed: int = 7) -> tuple[list[str], Params]:
-    """(classes, parameters), fitted with Adam to windows of the texts (or those that sample drew of each), some cut short, some in capitals, and to noise."""
+    """(classes, parameters), fitted with Adam to windows of the texts (or those that sample drew of each), some cut short, some in capitals, and to noise.
+
+    Each example is any window of any document of a class, documents being as likely as each other.
+    """
     rng = np.random.default_rng(seed)
     classes = [*sorted(set(labels)), NONE]
-    pool: dict[str, list[bytes]] = {c: [] for c in classes}
+    pool: dict[str, list[list[bytes]]] = {c: [] for c in classes}
     for text, label in zip(texts, labels, strict=True):
-        pool[label] += _draw(text.encode(), rng) if isinstance(text, str) else text
-    pool[NONE] = _noise(rng, max(map(len, pool.values())))
+        pool[label].append(_cut(text.encode()) if isinstance(text, str) else text)
+    pool[NONE] = [_noise(rng, 2048)]
     p = init(len(classes), hidden, seed)
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
     for step in range(1, steps + 1):
@@ -181,7 +188,8 @@ def train(texts: list[str | list[bytes]], labels: list[str], *, steps: int = STE
         x = np.zeros((WINDOW, BATCH), np.intp)
         mask = np.zeros((WINDOW, BATCH), np.float32)
         for i, c in enumerate(y):
-            b = pool[classes[c]][int(rng.integers(len(pool[classes[c]])))]
+            doc = pool[classes[c]][int(rng.integers(len(pool[classes[c]])))]
+            b = doc[int(rng.integers(len(doc)))]
             u = rng.random()
             if u < 0.1:
                 b = b.decode(errors="ignore").upper().encode()[:WINDOW]
@@ -204,7 +212,7 @@ def train(texts: list[str | list[bytes]], labels: list[str], *, steps: int = STE
 
 
 def predict(p: Params, data: np.ndarray, off: np.ndarray, at_once: int = 2048) -> tuple[np.ndarray, np.ndarray]:
-    """(sum of the probabilities over the positions, positions labelled so), text by class."""
+    """(sum of the probabilities over the positions, positions labelled so), text by class; of classes that tie the first has the position."""
     k, n = p["o"].shape[0], len(off) - 1
     sums, votes = np.zeros((n, k)), np.zeros((n, k), np.int64)
     start, size, text = windows(data, off)
@@ -216,8 +224,7 @@ def predict(p: Params, data: np.ndarray, off: np.ndarray, at_once: int = 2048) -
             x = data[start[w][None, :] + np.arange(WINDOW)[:, None]].astype(np.intp)
             mask = None if full else (np.arange(WINDOW)[:, None] < size[w][None, :]).astype(np.float32)
             prob = forward(p, x, mask)
-            best = prob.max(axis=1)
-            hit = prob == best[:, None, :]
+            hit = prob.argmax(axis=1)[:, None, :] == np.arange(k)[None, :, None]
             if mask is not None:
                 prob *= mask[:, None, :]
                 hit &= mask[:, None, :] > 0
@@ -241,7 +248,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def sample(docs: DataFrame, *, per_language: int = TRAIN_DOCS) -> tuple[list[str | list[bytes]], list[str]]:
-    """At most per_language labelled texts of each language, drawn by a hash of their id; of texts of more than WHOLE characters TRAIN_WINDOWS windows, drawn where the text is."""
+    """At most per_language labelled texts of each language, drawn by a hash of their id, whole; of those of more than WHOLE characters TRAIN_WINDOWS windows, drawn where the text is."""
     counts = {r[0]: r[1] for r in docs.filter(F.col("lang").isNotNull() & (F.octet_length("text") > 0)).groupBy("lang").count().collect() if r[1] >= MIN_DOCS and r[0] != NONE}
     if not counts:
         return [], []
@@ -277,20 +284,23 @@ def _label(classes: list[str], p: Params):
 def identify(docs: DataFrame, model: tuple[list[str], Params] | None = None, *, min_none: float = MIN_NONE) -> DataFrame:
     """docs with `predicted`, `prob`, `positions` and `keep`.
 
-    The network reads each text as windows of 64 bytes, every byte in exactly one of
-    them, and gives each byte a probability for each language it was trained on and
+    The network reads each text as windows of WINDOW bytes, every byte in exactly one
+    of them, and gives each byte a probability for each language it was trained on and
     for none ("und").  prob is the mean over all bytes of the whole text of the best
-    class, predicted; positions counts the bytes by best class, classes in
-    alphabetical order with "und" last.  keep is false for documents predicted to be
-    of no language with a prob of min_none or more; prose whose language is in doubt,
-    as that of a single word may be, is kept.
+    class, predicted; positions counts the bytes by best class, each byte once, classes
+    in alphabetical order with "und" last.  Of classes that tie, for a byte or for a
+    text, the first has it.  keep is false for documents predicted to be of no language
+    with a prob of min_none or more; prose whose language is in doubt, as that of a
+    single word may be, is kept.
 
     The model, unless given, is trained on at most TRAIN_DOCS documents of each
-    language in the column lang, TRAIN_WINDOWS windows of each wherever they lie.  Null and empty texts have null predicted, prob 0
-    and aren't kept.  If no language has MIN_DOCS labelled documents, nothing can be
-    told: predicted is null, prob 0, positions empty, and all that have text are
-    kept.  Rows aren't dropped, repeated or merged; columns named like the four new
-    ones are replaced.
+    language in the column lang that has MIN_DOCS of them at least, whole (of those of
+    more than WHOLE characters, on TRAIN_WINDOWS windows wherever they lie); rarer
+    languages are not among the classes.  Null and empty texts have null predicted,
+    prob 0 and aren't kept; texts may be of any length.  If no language has MIN_DOCS
+    labelled documents, as in an empty table, nothing can be told: predicted is null,
+    prob 0, positions empty, and all that have text are kept.  Rows aren't dropped,
+    repeated or merged; columns named like the four new ones are replaced.
     """
     base, back = packed(docs, "predicted", "prob", "positions", "keep")
     if model is None:
@@ -310,5 +320,6 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents of no language that the network knows."""
-    return identify(docs).filter("keep").select(*columns(docs))
+    """Drops the documents that are of no language to MIN_NONE or more, and null and empty texts; repeated rows are treated alike, an empty table stays one."""
+    base, back = packed(docs.withColumn("__lang", F.col("lang")))
+    return identify(base.withColumn("lang", F.col("__rest")["__lang"])).filter("keep").select(*back()).drop("__lang")
