@@ -17,6 +17,8 @@ REGISTERS = 160
 ROWS_PER_BAND = 4
 #: Bits of mantissa that a register keeps beside its count of leading zeros.
 MANTISSA = 10
+#: Documents of a band that one task compares, where they are in several components; a band of more is dealt to several.
+HOT = 1 << 13
 EMPTY = 0xFFFF
 
 
@@ -111,37 +113,43 @@ def _bands(rows: int):
     return run
 
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs the first text of each band's group with each other one."""
-    for g in grouped(batches, ["band"]):
-        band, key = g.column("band").to_numpy(), g.column("key").to_numpy()
-        new = np.ones(len(band), bool)
-        new[1:] = band[1:] != band[:-1]
-        first = key[np.maximum.accumulate(np.where(new, np.arange(len(band)), 0))]
-        keep = ~new & (first != key)
-        yield pa.RecordBatch.from_arrays([pa.array(first[keep]), pa.array(key[keep])], ["a", "b"])
-
-
 def _crosses(batches: Iterator[pa.RecordBatch], at_once: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """All pairs of a band's group that lie in different components, but for those with the first text, which were tried before."""
-    for g in grouped(batches, ["band"]):
-        band, key, label = (g.column(c).to_numpy() for c in ("band", "key", "label"))
-        begin = np.flatnonzero(np.concatenate([[True], band[1:] != band[:-1]]))
+    """All pairs of a cell that lie in different components; of two parts of a hot band only pairs of one with the other.  Rows come sorted by band and cell."""
+    for g in grouped(batches, ["band", "cell"]):
+        band, cell, part, key, label = (g.column(c).to_numpy() for c in ("band", "cell", "part", "key", "label"))
+        apart = g.column("apart").to_numpy()
+        new = np.ones(len(band), bool)
+        new[1:] = (band[1:] != band[:-1]) | (cell[1:] != cell[:-1])
+        begin = np.flatnonzero(new)
         start = np.repeat(begin, np.diff(begin, append=len(band)))
-        mixed = np.repeat(np.minimum.reduceat(label, begin) != np.maximum.reduceat(label, begin), np.diff(begin, append=len(band)))
-        i = np.flatnonzero(mixed & (np.arange(len(band)) > start + 1))
-        n = i - start[i] - 1
+        i = np.flatnonzero(np.arange(len(band)) > start)
+        n = i - start[i]
         ends = np.cumsum(n)
         at = 0
         while at < len(i):
             to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + at_once, "right")))
             m, e = n[at:to], np.cumsum(n[at:to])
-            x, y = np.repeat(i[at:to], m), np.arange(int(e[-1])) - np.repeat(e - m, m) + np.repeat(start[i[at:to]] + 1, m)
-            ok = label[x] != label[y]
-            yield pa.RecordBatch.from_arrays([pa.array(key[y[ok]]), pa.array(key[x[ok]])], ["a", "b"])
+            x, y = np.repeat(i[at:to], m), np.arange(int(e[-1])) - np.repeat(e - m, m) + np.repeat(start[i[at:to]], m)
+            ok = (label[x] != label[y]) & (~apart[x] | (part[x] != part[y]))
+            x, y = x[ok], y[ok]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(key[x], key[y])), pa.array(np.maximum(key[x], key[y]))], ["a", "b"])
             at = to
 
 
+def _cells(labelled: DataFrame, scratch: Scratch, hot: int) -> DataFrame:
+    """labelled (band, key, first, label) in the cells where its rows are compared.
+
+    Bands all of whose documents are in one component are done; this is told by an
+    aggregate, so they aren't gathered.  Of the others, one of more than `hot`
+    documents is dealt to k parts, and each two parts meet in a cell.
+    """
+    mixed = labelled.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo <> hi")
+    mixed = scratch.write("mixed", mixed.select("band", F.ceil(F.col("n") / hot).cast("int").alias("k")))
+    some = labelled.filter("key <> first").join(checked(mixed, mixed.count(), 24), "band").withColumn("part", F.pmod(F.xxhash64("key"), F.col("k")).cast("int"))
+    with_each = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda j: F.struct((F.least("part", j) * F.col("k") + F.greatest("part", j)).alias("cell"), (j != F.col("part")).alias("apart")))
+    return some.select("band", "key", "label", "part", F.explode(with_each).alias("c")).select("band", "key", "label", "part", "c.cell", "c.apart")
+
+
 def _likely(t: float):
     """Keeps pairs whose estimate comes within three standard errors of the threshold."""
 
@@ -167,7 +175,7 @@ def _same(t: float, words: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, *, threshold: float = THRESHOLD, words: int = SHINGLE, k: int = REGISTERS, rows: int = ROWS_PER_BAND) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, threshold: float = THRESHOLD, words: int = SHINGLE, k: int = REGISTERS, rows: int = ROWS_PER_BAND, hot: int = HOT) -> DataFrame:
     """docs with `group`, the least doc_id of the near-duplicates it belongs to, group_size, and `keep`, true for one document of each group.
 
     Two documents are near-duplicates if the sets of their shingles of `words` words
@@ -178,9 +186,11 @@ def near_duplicates(docs: DataFrame, *, threshold: float = THRESHOLD, words: int
     expected by chance, and then verified on the texts.  A band's group is compared
     with its first document, and after components are known, all pairs that still
     lie in different ones are compared too, so no candidate is left out, and groups
-    of thousands don't cost their square in verified pairs.
+    of thousands don't cost their square in verified pairs.  A band of more than `hot`
+    documents is compared by several tasks.
 
-    Texts without words (null, empty, punctuation) match nothing and are kept.  Rows
+    Texts without words (null, empty, punctuation) match nothing and are kept; texts of
+    any length are signed whole; an empty table gives an empty one.  Rows
     that repeat a doc_id, and null ones, are ordered by text; `group` is then the
     least doc_id of the group, null if that row has a null one.  Other columns pass
     through; columns named group, group_size or keep are replaced.
@@ -189,7 +199,7 @@ def near_duplicates(docs: DataFrame, *, threshold: float = THRESHOLD, words: int
     scratch = Scratch(spark)
     base, back = packed(docs, "group", "group_size", "keep")
     rows_ = keyed(base, scratch)
-    groups = _groups(rows_, scratch, threshold, words, k, rows)
+    groups = _groups(rows_, scratch, threshold, words, k, rows, hot)
     size = groups.count()
     roots = rows_.select(F.col("__key").alias("root"), F.col("doc_id").alias("group"))
     named = groups.join(roots, "root").select(F.col("key"), "root", "group", "group_size")
@@ -204,7 +214,7 @@ def near_duplicates(docs: DataFrame, *, threshold: float = THRESHOLD, words: int
     )
 
 
-def _groups(docs: DataFrame, scratch: Scratch, t: float, words: int, k: int, rows: int) -> DataFrame:
+def _groups(docs: DataFrame, scratch: Scratch, t: float, words: int, k: int, rows: int, hot: int) -> DataFrame:
     """(key, root, group_size) for the documents in groups of two or more."""
     docs = docs.select("__key", "text")
     signed = scratch.write("signed", docs.mapInArrow(_sign(k, words), "key long, n long, h1 long, h2 long, regs binary").filter("n > 0"))
@@ -227,21 +237,23 @@ def _groups(docs: DataFrame, scratch: Scratch, t: float, words: int, k: int, row
         edges = scratch.write(f"edges_{name}", pairs.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b").mapInArrow(_same(t, words), "a long, b long"))
         return edges, n
 
-    keyed_bands = signed.select("key", "regs").mapInArrow(_bands(rows), "band long, key long")
-    stars = keyed_bands.repartition("band").sortWithinPartitions("band", "key").mapInArrow(_stars, "a long, b long").distinct()
+    bands = signed.select("key", "regs").mapInArrow(_bands(rows), "band long, key long")
+    # The first document of each band is an aggregate that combines before its shuffle; only bands of two or more go on.
+    first = scratch.write("first", bands.groupBy("band").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", "first"))
+    multi = scratch.write("multi", bands.join(checked(first, first.count(), 24), "band"))
+    stars = multi.filter("key <> first").select(F.col("first").alias("a"), F.col("key").alias("b")).distinct()
     edges, _ = verified(stars, "stars")
     roots = components(edges)
-    n_roots = roots.count()
-    labelled = signed.join(checked(roots, n_roots, 32), signed["key"] == roots["node"], "left").select("key", F.coalesce("root", "key").alias("label"), "regs")
-    labelled = labelled.mapInArrow(_bands(rows), "band long, key long, label long")
-    crosses = labelled.repartition("band").sortWithinPartitions("band", "key").mapInArrow(_crosses, "a long, b long").distinct()
+    labelled = multi.join(checked(roots, roots.count(), 32), multi["key"] == roots["node"], "left").select("band", "key", "first", F.coalesce("root", "key").alias("label"))
+    cells = _cells(labelled, scratch, hot).repartition("band", "cell").sortWithinPartitions("band", "cell")
+    crosses = cells.mapInArrow(_crosses, "a long, b long").distinct()
     more, n_more = verified(crosses, "crosses")
     if n_more:
         edges = edges.unionByName(more)
     roots = components(edges.unionByName(equal))
     w = roots.groupBy("root").agg(F.count(F.lit(1)).alias("group_size"))
     out = scratch.write("groups", roots.join(w, "root").select(F.col("node").alias("key"), "root", "group_size"))
-    for name in ("signed", "equal", "likely_stars", "likely_crosses", "edges_stars", "edges_crosses"):
+    for name in ("signed", "equal", "first", "multi", "mixed", "likely_stars", "likely_crosses", "edges_stars", "edges_crosses"):
         scratch.drop(name)
     return out
 
@@ -252,5 +264,19 @@ def op8_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates: the one with the least doc_id."""
-    return near_duplicates(docs).filter("keep").select(*columns(docs))
+    """Keeps one document of each group of near-duplicates: the one with the least doc_id.
+
+    Line dedup takes from a copy the lines that it shares, so what is left of it may
+    resemble nothing.  Therefore documents are compared twice: those that are still
+    there by their texts in the table of documents, then the ones kept by their texts
+    as they are.  Rows whose doc_id is null or repeated are compared as they are only.
+    Texts without words, null and empty ones stay; an empty table stays one.
+    """
+    base, back = packed(docs)
+    scratch = Scratch(spark)
+    once = lambda df: df.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n = 1").select("doc_id")
+    came = table(spark, sf_dir, "documents").select("doc_id", "text")
+    came = came.join(once(base), "doc_id", "left_semi").join(once(came), "doc_id", "left_semi")
+    copies = scratch.write("copies", near_duplicates(came).filter("not keep").select("doc_id"))
+    kept = base.join(checked(copies, copies.count(), 16), "doc_id", "left_anti")
+    return near_duplicates(kept).filter("keep").select(*back())

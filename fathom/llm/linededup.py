@@ -335,3 +335,21 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = dedup_lines(base)
     left = (F.col("n_removed") == 0) | (F.col("text").rlike(r"\S"))
     return recounted(out.filter(left), F.col("n_removed") > 0, docs, back)
+
+
+_WORDS = r"list_distinct(regexp_extract_all(lower(line), '[a-z0-9\x{80}-\x{10FFFF}]+'))"
+OP2_SQL = rf"""
+WITH l AS MATERIALIZED (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents WHERE text IS NOT NULL),
+w AS MATERIALIZED (SELECT doc_id, i, list_sort({_WORDS}) AS words FROM l),
+lines AS MATERIALIZED (SELECT doc_id, i, words, len(words) AS size, row_number() OVER (PARTITION BY words ORDER BY doc_id, i) AS nth FROM w WHERE len(words) >= {MIN_WORDS}),
+sets AS MATERIALIZED (SELECT row_number() OVER (ORDER BY doc_id, i) AS id, doc_id, i, words, size FROM lines WHERE nth = 1),
+tokens AS MATERIALIZED (SELECT id, size, unnest(words) AS word FROM sets),
+rarity AS (SELECT word, count(*) AS n FROM tokens GROUP BY word),
+prefix AS MATERIALIZED (SELECT id, size, word FROM tokens JOIN rarity USING (word) QUALIFY row_number() OVER (PARTITION BY id ORDER BY n, word) <= size - ceil(round(size * {THRESHOLD}, 9)) + 1),
+pairs AS MATERIALIZED (SELECT DISTINCT a.id AS later, b.id AS earlier FROM prefix a JOIN prefix b USING (word) WHERE a.id > b.id AND least(a.size, b.size) >= greatest(a.size, b.size) * {THRESHOLD} - 1e-9),
+close AS (SELECT DISTINCT later FROM (SELECT later, a.size + b.size AS total, len(list_intersect(a.words, b.words)) AS common FROM pairs JOIN sets a ON a.id = later JOIN sets b ON b.id = earlier) WHERE common >= {THRESHOLD} * (total - common) - 1e-9),
+gone AS (SELECT doc_id, i FROM lines WHERE nth > 1 UNION SELECT doc_id, i FROM sets JOIN close ON later = id),
+kept AS (SELECT l.doc_id, string_agg(line, chr(10) ORDER BY l.i) FILTER (WHERE g.i IS NULL) AS text, count(*) AS n_lines, count(g.i) AS n_removed FROM l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.i = l.i GROUP BY l.doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(k.text, '') END AS text, coalesce(n_lines, 0)::INTEGER AS n_lines, coalesce(n_removed, 0)::INTEGER AS n_removed
+FROM documents d LEFT JOIN kept k USING (doc_id)
+"""

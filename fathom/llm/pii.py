@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import Taken, table
 
 #: Characters before and after a span in which context words count, and what one adds or takes.
 CONTEXT, BONUS = 48, 0.2
@@ -103,6 +103,10 @@ _EMAIL_CONTEXT = r"mail|contact|write|kontakt|contacto"
 _AGAINST = {"ip_address": r"version|release|section|chapter|v\.", "credit_card": r"isbn|order no|tracking|serial", "phone": r"isbn|version|serial", "us_ssn": r"isbn|part no|serial"}
 
 
+_ALNUM = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
+_LOCAL = _ALNUM | frozenset("._%+-")
+
+
 class Span(NamedTuple):
     kind: str
     begin: int
@@ -115,8 +119,7 @@ class Finder:
     def __init__(self, min_score: float = MIN_SCORE):
         self.min_score = min_score
         self.kinds = [(k, re.compile(k.pattern, re.ASCII), re.compile(rf"(?i)\b(?:{k.context})"), re.compile(rf"(?i)\b(?:{_AGAINST[k.name]})") if k.name in _AGAINST else None) for k in KINDS]
-        self.left = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,63})\Z", re.ASCII)
-        self.right = re.compile(r"(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,62})\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])", re.ASCII)
+        self.right = re.compile(r"(?:[A-Za-z0-9][A-Za-z0-9-]*+\.)+[A-Za-z]{2,}+(?![0-9-])", re.ASCII)
         self.email_context = re.compile(rf"(?i)\b(?:{_EMAIL_CONTEXT})")
 
     def _around(self, text: str, a: int, b: int) -> str:
@@ -126,26 +129,32 @@ class Finder:
         if not text:
             return []
         found: list[tuple[int, Span]] = []
-        at = text.find("@")
-        while at >= 0:
-            left = self.left.search(text, max(0, at - 64), at)
-            right = self.right.match(text, at + 1)
-            if left and right and ".." not in left[0] and not left[0].endswith("."):
-                a, b = left.start(), right.end()
-                score = 0.8 + BONUS * bool(self.email_context.search(self._around(text, a, b)))
-                found.append((-1, Span("email", a, b, min(1.0, score), False)))
-            at = text.find("@", at + 1)
+        for a, b in self.emails(text):
+            score = 0.8 + BONUS * bool(self.email_context.search(self._around(text, a, b)))
+            found.append((-1, Span("email", a, b, min(1.0, score), False)))
         for i, (k, pattern, context, against) in enumerate(self.kinds):
             for a, b in self._spans(k, pattern, text):
                 around = self._around(text, a, b)
                 score = k.score + BONUS * bool(context.search(around)) - BONUS * bool(against and against.search(around))
                 found.append((i, Span(k.name, a, b, min(1.0, round(score, 3)), k.checked)))
-        out: list[Span] = []
-        for _, s in sorted(found, key=lambda x: (x[0], x[1].begin)):
-            if s.score >= self.min_score and all(s.end <= o.begin or s.begin >= o.end for o in out):
-                out.append(s)
+        taken = Taken()
+        out = [s for _, s in sorted(found, key=lambda x: (x[0], x[1].begin)) if s.score >= self.min_score and taken.add(s.begin, s.end)]
         return sorted(out, key=lambda s: s.begin)
 
+    def emails(self, text: str) -> Iterator[tuple[int, int]]:
+        """Around each @: what may stand before it, from the first letter or digit after any two dots in a row, and a host name."""
+        at = text.find("@")
+        while at >= 0:
+            if right := self.right.match(text, at + 1):
+                a = at
+                while a and text[a - 1] in _LOCAL and text[a - 1 : a + 1] != "..":
+                    a -= 1
+                while a < at and text[a] not in _ALNUM:
+                    a += 1
+                if a < at and text[at - 1] != ".":
+                    yield a, right.end()
+            at = text.find("@", at + 1)
+
     def _spans(self, kind: Kind, pattern: re.Pattern, text: str) -> Iterator[tuple[int, int]]:
         """Where the pattern matches and the check, if there is one, is passed."""
         if kind.name == "credit_card":
@@ -200,8 +209,9 @@ def find_pii(docs: DataFrame, *, min_score: float = MIN_SCORE) -> DataFrame:
     score by 0.2; spans below min_score are dropped; of overlapping spans the kind
     with a checksum wins.  Texts without a digit or @ are passed over in the JVM.
 
-    begin and end count characters.  Null and empty texts have no spans; a null
-    doc_id stays null; repeated rows give repeated spans; other columns are ignored.
+    begin and end count characters.  Null and empty texts have no spans; texts and
+    spans may be of any length; a null doc_id stays null; repeated rows give repeated
+    spans; other columns are ignored; an empty table has no spans.
     """
     some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.col("text").rlike("[0-9@]"))
     return some.mapInArrow(_find(min_score), "doc_id long, kind string, begin long, end long, score double, checked boolean")

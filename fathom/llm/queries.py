@@ -21,4 +21,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": langid.op10_language_id,
 }
 
-SQL: dict[str, str] = {"op4_merkle": merkle.OP4_SQL, "op5_media": media.OP5_SQL, "op7_url_filter": urlfilter.OP7_SQL}
+SQL: dict[str, str] = {"op2_line_dedup": linededup.OP2_SQL, "op4_merkle": merkle.OP4_SQL, "op5_media": media.OP5_SQL, "op7_url_filter": urlfilter.OP7_SQL}

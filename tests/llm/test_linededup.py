@@ -2,6 +2,7 @@
 
 import re
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -70,6 +71,36 @@ def test_query_matches_brute_force(spark, sf, documents):
     assert sum(r.n_removed for r in out) > 0
 
 
+def test_query_equals_sql(spark, sf):
+    df = L.op2_line_dedup(spark, sf)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    cur = con.execute(L.OP2_SQL)
+    assert [d[0] for d in cur.description] == df.columns
+    assert sorted(map(repr, cur.fetchall())) == sorted(repr(tuple(r)) for r in df.collect())
+
+
+@pytest.mark.parametrize("hot", [5, 50])
+def test_hot_words_are_dealt_without_loss(make, hot):
+    rows = variants(3, 240)
+    got = [(r.doc_id, r.text) for r in L.dedup_lines(make(rows), threshold=0.7, hot=hot).collect()]
+    assert ordered(got) == ordered(brute(rows, 0.7))
+
+
+def test_a_line_of_every_document(make):
+    rows = [(i, f"All rights reserved.\nOwn words of {i} here {i * 7}\nok\nA licence line of ten words that all of these documents share number {i % 3}") for i in range(2000)]
+    got = {r.doc_id: r for r in L.dedup_lines(make(rows)).collect()}
+    assert got[0].n_removed == 0 and all(r.n_removed == 3 for k, r in got.items() if k > 2)
+    assert all(r.text == f"Own words of {k} here {k * 7}" for k, r in got.items() if k > 2)
+
+
+@pytest.mark.parametrize("t", [0.5, 0.8, 0.9, 1.0])
+def test_sets_too_small_to_resemble_others(t):
+    least = L.least_joined(t)
+    if t < 1:
+        assert least >= t * (least + 1) - 1e-9 and (least == 1 or least - 1 < t * least - 1e-9)
+
+
 def test_edges(spark, make):
     df = make(EDGES, clash=True)
     out = L.dedup_lines(df)
