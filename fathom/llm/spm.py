@@ -260,6 +260,13 @@ class _Words(dict):
         return out
 
 
+def _split(texts: pa.Array, by_words: bool) -> tuple[np.ndarray, pa.Array]:
+    """Which texts are made of words alone, and their words: what stands after a space, or begins with a line break."""
+    odd = pc.or_(pc.or_(pc.match_substring(texts, "  "), pc.match_substring(texts, SPACE)), pc.or_(pc.match_substring(texts, " \n"), pc.match_substring_regex(texts, "^[ \n]")))
+    fast = pc.fill_null(pc.and_(pc.invert(odd), pc.not_equal(texts, "")), False).to_numpy(zero_copy_only=False) & by_words
+    return fast, pc.split_pattern(pc.replace_substring(texts.filter(pa.array(fast)), "\n", " \n"), " ")
+
+
 class Words:
     """The words of many texts at once: each distinct one is looked up once.
 
@@ -268,10 +275,7 @@ class Words:
     """
 
     def __init__(self, codec: Codec, texts: pa.Array):
-        odd = pc.or_(pc.or_(pc.match_substring(texts, "  "), pc.match_substring(texts, SPACE)), pc.or_(pc.match_substring(texts, " \n"), pc.match_substring_regex(texts, "^[ \n]")))
-        fast = pc.and_(pc.invert(odd), pc.not_equal(texts, ""))
-        self.fast = pc.fill_null(fast, False).to_numpy(zero_copy_only=False) & codec.by_words
-        words = pc.split_pattern(pc.replace_substring(texts.filter(pa.array(self.fast)), "\n", " \n"), " ")
+        self.fast, words = _split(texts, codec.by_words)
         coded = words.flatten().dictionary_encode()
         known = [codec.words[w] for w in coded.dictionary.to_pylist()]
         self.codes = coded.indices.to_numpy()
@@ -323,16 +327,30 @@ def _encode(model: bytes):
     return run
 
 
-def _count(model: bytes):
+def _count(model: bytes, by_words: bool):
+    """Counts by the model's own library, which is fast where only numbers are asked for; each distinct word is counted once."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(model)
+        import sentencepiece
+
+        library = sentencepiece.SentencePieceProcessor(model_proto=model)
+        # A word that begins with a line break has no space before it, which the library puts there.
+        known: dict[str, int] = {"": len(library.encode("a ")) - len(library.encode("a"))}
         for b in batches:
             for s in slices(b, "text", 4 << 20):
-                words = Words(codec, s.column("text"))
+                fast, words = _split(s.column("text"), by_words)
+                coded = words.flatten().dictionary_encode()
+                distinct = coded.dictionary.to_pylist()
+                if len(known) > REMEMBER:
+                    known = {"": known[""]}
+                new = [w for w in distinct if w not in known]
+                known.update((w, len(x) - (w[0] == "\n")) for w, x in zip(new, library.encode(new, num_threads=1), strict=True))
+                each = np.array([known[w] for w in distinct], np.int64)
+                begin = np.concatenate([[0], np.cumsum(pc.list_value_length(words).to_numpy(zero_copy_only=False))]).astype(np.int64)[:-1]
                 n = np.zeros(s.num_rows, np.int64)
-                n[words.fast] = words.size
-                for i in np.flatnonzero(~words.fast).tolist():
-                    n[i] = len(codec.encode(s.column("text")[i].as_py() or ""))
+                n[fast] = np.add.reduceat(each[coded.indices.to_numpy()], begin) if len(begin) else 0
+                for i in np.flatnonzero(~fast).tolist():
+                    n[i] = len(library.encode(s.column("text")[i].as_py() or ""))
                 others = [c for c in s.schema.names if c != "text"]
                 yield pa.RecordBatch.from_arrays([*(s.column(c) for c in others), pa.array(n)], [*others, "n_tokens"])
 
@@ -370,9 +388,11 @@ def encode(docs: DataFrame, *, model: str = MODEL) -> DataFrame:
 
 
 def count(docs: DataFrame, *, model: str = MODEL) -> DataFrame:
-    """docs (text and other columns) with n_tokens, the number of ids that encode gives, in the place of text."""
+    """docs (text and other columns) with n_tokens, the number of ids that encode gives, in the place of text; 0 for null."""
+    b = _load(model)
+    by_words = not any(SPACE in p.text.lstrip(SPACE) for p in read_model(b) if p.kind == 1)
     rest = [f for f in docs.schema if f.name != "text"]
-    return docs.select(*(f"`{f.name}`" for f in rest), "text").mapInArrow(_count(_load(model)), T.StructType([*rest, T.StructField("n_tokens", T.LongType())]))
+    return docs.select(*(f"`{f.name}`" for f in rest), "text").mapInArrow(_count(b, by_words), T.StructType([*rest, T.StructField("n_tokens", T.LongType())]))
 
 
 def decode(encoded: DataFrame, *, model: str = MODEL) -> DataFrame:

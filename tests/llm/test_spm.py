@@ -93,7 +93,7 @@ def test_words_in_bulk(codec):
 
 
 def test_counts(make):
-    df = make(EDGES, clash=True)
+    df = make([*EDGES, *((100 + i, t) for i, t in enumerate([*TEXTS, "a b ", "x ", "\nz", "a\nb "]))], clash=True)
     counted = sorted((r.doc_id or -1, r.n_tokens) for r in S.count(df.select("doc_id", "text")).collect())
     assert counted == sorted((r.doc_id or -1, r.n_tokens) for r in S.encode(df).collect())
 
