@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import copy
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass, field, replace
 from functools import cached_property
@@ -23,10 +23,10 @@ from .operators import changes, search
 from .operators import predicates as P
 from .plans.compile import Compiled, Compiler
 from .plans.fluent import QueryBuilder, SearchBuilder
-from .plans.spec import QuerySpec, from_field, from_payload
+from .plans.spec import QuerySpec, from_field, from_payload, order_of
 from .sources import io
 from .sources.catalog import SYSTEM_KEY, Catalog, Collection, FieldInfo, spark_type
-from .sources.shared import written
+from .sources.shared import checked, written
 from .sources.store import Store
 from .streaming import feed
 from .streaming.handlers import Handlers
@@ -62,6 +62,9 @@ class Transaction:
     def __init__(self, engine: Engine):
         self.engine = engine
         self.frames: dict[str, DataFrame] = {}
+        #: Of each table that changes: the files that stay, and the rows to write beside them.
+        self.kept: dict[str, list[str]] = {}
+        self.rows: dict[str, DataFrame | None] = {}
         self.events: list[DataFrame] = []
         self.definitions = copy.copy(engine.catalog.collections)
         self.migrations = list(engine.store.state["migrations"])
@@ -71,6 +74,33 @@ class Transaction:
     def frame(self, c: Collection) -> DataFrame:
         return self.frames[c.name] if c.name in self.frames else c.load()
 
+    def _begin(self, name: str) -> None:
+        if name not in self.kept:
+            self.kept[name], self.rows[name] = list(self.engine.store.state["collections"][name]["files"]), None
+
+    def replace(self, name: str, df: DataFrame) -> None:
+        """Writes a table anew."""
+        self.frames[name], self.kept[name], self.rows[name] = df, [], df
+
+    def add(self, name: str, new: DataFrame, after: DataFrame) -> None:
+        """Adds rows; no file of the table is touched."""
+        self._begin(name)
+        rows = self.rows[name]
+        self.frames[name], self.rows[name] = after, new if rows is None else rows.unionByName(new)
+
+    def change(self, name: str, before: DataFrame, hit: Column, change: Callable[[DataFrame], DataFrame], after: DataFrame) -> None:
+        """Changes rows; only the files that hold rows that are hit are written anew."""
+        self._begin(name)
+        schema = before.schema
+        store, rows = self.engine.store, self.rows[name]
+        files = store.hit(self.kept[name], schema, hit)
+        if files:
+            part = store.read(files, schema)
+            rows = part if rows is None else part.unionByName(rows)
+        self.frames[name] = after
+        self.kept[name] = [f for f in self.kept[name] if f not in set(files)]
+        self.rows[name] = None if rows is None else change(rows)
+
 
 class Session:
     """What can be done in a transaction."""
@@ -133,7 +163,7 @@ class Engine:
         schema = T.StructType.fromJson(d["schema"])
         fields = {n: FieldInfo(**{**f, "relation": tuple(f["relation"]) if f["relation"] else None}) for n, f in d["fields"].items()}
         old = self.catalog.collections.get(name)
-        self.catalog.collections[name] = Collection(name, fields, d["keys"], lambda: self.store.read(d["at"], schema), dict(old.computed) if old else {})
+        self.catalog.collections[name] = Collection(name, fields, d["keys"], lambda: self.store.read(d["files"], schema), dict(old.computed) if old else {})
 
     # ------------------------------------------------------------ texts
 
@@ -228,6 +258,23 @@ class Engine:
     def find_by_fields(self, collection: str, values: dict[str, Any]) -> DataFrame:
         return self.compile(QuerySpec(collection, P.And(tuple(P.Leaf(n, "eq", v) for n, v in values.items())))).frame
 
+    def find_complex(self, collection: str, where: dict[str, Any], *, order: dict[str, str] | None = None, limit: int | None = None, offset: int = 0) -> DataFrame:
+        """Rows that meet a nested filter, in an order, a page of them."""
+        return self.compile(QuerySpec(collection, P.from_object(where), order=order_of(order), limit=limit, offset=offset)).frame
+
+    def search_by_value(self, collection: str, name: str, value: Any) -> DataFrame:
+        """Rows with a value in a field that create_index was called for; scans skip files and row groups by their statistics."""
+        c = self.catalog.get(collection)
+        if name not in c.fields or not c.fields[name].indexed:
+            raise ValidationError(f"{collection} has no index on {name}")
+        return self.find_by_fields(collection, {name: value})
+
+    def put_blob(self, path: str, content: bytes) -> str:
+        return io.write_blob(self.spark, path, content)
+
+    def blobs(self, path: str) -> DataFrame:
+        return io.read_blobs(self.spark, path)
+
     def find_in_range(self, collection: str, name: str, low: Any, high: Any) -> DataFrame:
         return self.compile(QuerySpec(collection, P.Leaf(name, "between", [low, high]))).frame
 
@@ -251,6 +298,43 @@ class Engine:
         df = c.frame()
         return search.inverted_index(df, name, c.sid(df.schema).column)
 
+    # ------------------------------------------------------------ full-text index
+
+    def create_text_index(self, collection: str, name: str) -> None:
+        """Stores the words of a text field with the rows that hold them, sorted by word, and what BM25 needs to know of all rows."""
+        c = self.catalog.get(collection)
+        df = c.frame()
+        counted = written(search.lengths(df, name, c.sid(df.schema).column))
+        docs, mean = counted.agg(F.count(F.lit(1)), F.avg("length")).first()
+        postings = search.postings(counted).repartitionByRange("word", "sid").sortWithinPartitions("word", "sid")
+        state = copy.deepcopy(self.store.state)
+        state.setdefault("indexes", {})[f"{collection}.{name}"] = {"files": self.store.write("_text", postings), "docs": docs, "mean": mean, "of": self._files(collection)}
+        self.store.commit(state, None)
+
+    def _files(self, collection: str) -> list[str] | None:
+        """The files of one of the engine's own tables; None for others, of whose changes nothing is known."""
+        return self.store.state["collections"].get(collection, {}).get("files")
+
+    def full_text_search(self, collection: str, name: str, query: str, *, limit: int | None = None) -> DataFrame:
+        """Rows with words of the query in a text field, by BM25 over the stored index; best first.
+
+        Only the postings of the query's words are read.  The index is made if there is
+        none, and again if the collection is the engine's own and changed since.
+        """
+        key = f"{collection}.{name}"
+        index = self.store.state.get("indexes", {}).get(key)
+        if index is None or index["of"] != self._files(collection):
+            self.create_text_index(collection, name)
+            index = self.store.state["indexes"][key]
+        c = self.catalog.get(collection)
+        df = c.frame()
+        scores = search.scored(self.store.read(index["files"], search.POSTINGS), query, index["docs"], index["mean"])
+        if scores is None:
+            return df.withColumn("_score", F.lit(0.0)).limit(0)
+        out = df.withColumn("__sid", c.sid(df.schema).column).join(scores, F.col("__sid") == F.col("sid")).drop("__sid", "sid")
+        out = out.orderBy(F.col("_score").desc(), *(F.col(f"`{k}`") for k in c.keys))
+        return out if limit is None else out.limit(limit)
+
     def index_stats(self, collection: str, name: str) -> DataFrame:
         """(field, rows, keys, most): about how many values a field has, and how many rows share the most frequent one."""
         by = self.catalog.get(collection).frame().groupBy(F.col(f"`{name}`").alias("k")).agg(F.count(F.lit(1)).alias("n"))
@@ -295,14 +379,14 @@ class Engine:
         c = self._own(tx, collection)
         tx.definitions[collection] = replace(c, fields={n: replace(i, indexed=i.indexed or n in names) for n, i in c.fields.items()})
         order = [F.col(f"`{n}`") for n in names]
-        tx.frames[collection] = tx.frame(c).repartitionByRange(*order).sortWithinPartitions(*order)
+        tx.replace(collection, tx.frame(c).repartitionByRange(*order).sortWithinPartitions(*order))
         self._commit(tx)
 
     def optimize(self, collection: str) -> None:
         """Rewrites one of the engine's own tables into files of an even size."""
         tx = Transaction(self)
         c = self._own(tx, collection)
-        tx.frames[collection] = tx.frame(c).hint("rebalance")
+        tx.replace(collection, tx.frame(c).hint("rebalance"))
         self._commit(tx)
 
     # ------------------------------------------------------------ mutations
@@ -396,7 +480,7 @@ class Engine:
         after = before.unionByName(new)
         changes.check(self.catalog, c, before, new, after, tx.frames, options.validate)
         self._same_keys(c, after, new)
-        tx.frames[name] = after
+        tx.add(name, new, after)
         self._record(tx, c, "Insert", None, new)
         return self._returned(c, f, new, flat)
 
@@ -412,7 +496,7 @@ class Engine:
         fresh, skipped = changes.importable(new, before, c)
         fresh = written(fresh)
         changes.check(self.catalog, c, before, fresh, before.unionByName(fresh), tx.frames, options.validate)
-        tx.frames[name] = before.unionByName(fresh)
+        tx.add(name, fresh, before.unionByName(fresh))
         self._record(tx, c, "Insert", None, fresh)
         out = self._returned(c, f, fresh, flat)
         out.status = f"{skipped.count()} skipped"
@@ -430,7 +514,7 @@ class Engine:
         rows = written(good)
         fresh, skipped = changes.importable(rows, before, c)
         fresh = written(fresh)
-        tx.frames[name] = before.unionByName(fresh)
+        tx.add(name, fresh, before.unionByName(fresh))
         self._record(tx, c, "Insert", None, fresh)
         out = {"imported": fresh.count(), "skipped": skipped.count(), "failed": bad.count()}
         self._commit(tx)
@@ -446,11 +530,11 @@ class Engine:
         before = tx.frame(c)
         hit = self._hit(c, before, where)
         old = before.filter(hit)
-        # Only the rows that change are written here; the table is, once, at the commit.
+        # Only the rows that change are written here, and the files that hold them at the commit.
         new = written(changes.updated(old, F.lit(True), data))
         after = changes.updated(before, hit, data)
         changes.check(self.catalog, c, before, new, after, tx.frames, options.validate)
-        tx.frames[name] = after
+        tx.change(name, before, hit, lambda df: changes.updated(df, hit, data), after)
         self._record(tx, c, "Update", old, new)
         return self._returned(c, f, new, flat)
 
@@ -466,15 +550,48 @@ class Engine:
 
     def _delete(self, tx: Transaction, f: ast.Field, name: str, where: Any, flat: Any) -> Result:
         c = self._own(tx, name)
-        before = tx.frame(c)
-        hit = self._hit(c, before, where)
+        hit = self._hit(c, tx.frame(c), where)
+        return self._returned(c, f, self._remove(tx, c, hit), flat)
+
+    def _remove(self, tx: Transaction, c: Collection, hit: Column) -> DataFrame:
+        """Removes the rows that are hit, and gives them."""
+        name, before = c.name, tx.frame(c)
         gone = written(before.filter(hit))
-        tx.frames[name] = before.filter(~hit)
+        tx.change(name, before, hit, lambda df: df.filter(~hit), before.filter(~hit))
         self._record(tx, c, "Delete", gone, None)
-        return self._returned(c, f, gone, flat)
+        return gone
+
+    def assign(self, collection: str, rows: list[dict[str, Any]]) -> None:
+        """Sets fields of rows, each by its _sid, in one commit; all rows give the same fields."""
+        if not rows:
+            return
+        tx = Transaction(self)
+        c = self._own(tx, collection)
+        before = tx.frame(c)
+        names = [n for n in rows[0] if n != SYSTEM_KEY]
+        values = self._frame_of(c, rows, T.StructType([before.schema[n] for n in rows[0]]))
+        values = values.select(F.col(SYSTEM_KEY).alias("__k"), F.struct(*names).alias("__v"))
+
+        def change(df: DataFrame) -> DataFrame:
+            both = df.join(checked(values, len(rows), 4096), F.col(SYSTEM_KEY) == F.col("__k"), "left")
+            return both.withColumns({n: F.when(F.col("__k").isNotNull(), F.col("__v").getField(n)).otherwise(F.col(n)) for n in names}).select(*df.columns)
+
+        hit = F.col(SYSTEM_KEY).isin([r[SYSTEM_KEY] for r in rows])
+        old = before.filter(hit)
+        new = written(change(old))
+        tx.change(collection, before, hit, change, change(before))
+        self._record(tx, c, "Update", old, new)
+        self._commit(tx)
+
+    def delete_where(self, collection: str, hit: Column) -> int:
+        """Deletes the rows of one of the engine's own tables that meet a condition on its columns."""
+        tx = Transaction(self)
+        gone = self._remove(tx, self._own(tx, collection), F.coalesce(hit, F.lit(False))).count()
+        self._commit(tx)
+        return gone
 
     def _commit(self, tx: Transaction) -> None:
-        """Writes the tables that changed, then one manifest."""
+        """Writes the rows that are new or whose files changed, then one manifest."""
         state = copy.deepcopy(self.store.state)
         for name in tx.dropped:
             state["collections"].pop(name, None)
@@ -483,7 +600,9 @@ class Engine:
             schema = df.schema
             for s in schema.fields:
                 s.nullable = True
-            state["collections"][name] = {"at": self.store.write(name, df), "schema": schema.jsonValue(), "keys": c.keys, "fields": {n: vars(i) for n, i in c.fields.items()}}
+            rows = tx.rows[name]
+            files = tx.kept[name] + (self.store.write(name, rows) if rows is not None else [])
+            state["collections"][name] = {"files": files, "schema": schema.jsonValue(), "keys": c.keys, "fields": {n: vars(i) for n, i in c.fields.items()}}
         state["migrations"] = tx.migrations
         if not tx.frames and not tx.dropped and tx.migrations == self.store.state["migrations"]:
             return
@@ -494,7 +613,6 @@ class Engine:
                 told = e if told is None else told.unionByName(e)
             at = (self.store.version + 1) << 32
             told = told.select((F.lit(at) + F.col("seq")).alias("seq"), F.current_timestamp().alias("ts"), "collection", "change_type", "sid", "document", "old_document", "changed_fields")
-            told = written(told)
         self.store.commit(state, told)
         for name in tx.dropped:
             self.catalog.collections.pop(name, None)
@@ -536,14 +654,15 @@ class Engine:
             schema = T.StructType([T.StructField(SYSTEM_KEY, T.StringType()), *(T.StructField(n, spark_type(i.type)) for n, i in infos.items() if n != SYSTEM_KEY)])
             c = Collection(d.collection, infos, [SYSTEM_KEY], lambda: self.spark.createDataFrame([], schema))
             tx.definitions[d.collection] = c
-            tx.frames[d.collection] = self.spark.createDataFrame([], schema)
+            tx.replace(d.collection, self.spark.createDataFrame([], schema))
         elif isinstance(d, ast.Drop):
             if d.collection not in tx.definitions:
                 if d.if_exists:
                     return
                 raise ValidationError(f"no collection {d.collection}")
             del tx.definitions[d.collection]
-            tx.frames.pop(d.collection, None)
+            for held in (tx.frames, tx.kept, tx.rows):
+                held.pop(d.collection, None)
             tx.dropped.add(d.collection)
         else:
             self._alter(tx, d)
@@ -575,7 +694,8 @@ class Engine:
                     raise ValidationError(f"{c.name} has no field {f.name}")
                 c.fields[f.name] = self._info(f)
                 df = df.withColumn(f.name, F.col(f"`{f.name}`").try_cast(spark_type(f.type)))
-        tx.definitions[c.name], tx.frames[c.name] = c, df
+        tx.definitions[c.name] = c
+        tx.replace(c.name, df)
 
     def _migrate(self, o: ast.Migration) -> Result:
         """Applies the versions that weren't applied before, each once, all in one commit."""
@@ -606,4 +726,4 @@ class Engine:
             new = evaluate(expr, scope).column.try_cast(df.schema[target].dataType)
             hit = self._hit(c, df, P.from_object(where) if where is not None else None)
             outs[target] = F.when(hit, new).otherwise(outs.get(target, F.col(f"`{target}`")))
-        tx.frames[c.name] = df.withColumns(outs)
+        tx.replace(c.name, df.withColumns(outs))

@@ -14,7 +14,7 @@ K1, B = 1.2, 0.75
 #: Idf never falls below this.
 LEAST_IDF = 0.1
 #: Words that carry no meaning of their own; callers may give others.
-STOP_WORDS = frozenset("a an and are as at be but by for from has have he her his i if in into is it its me my no not of on or our she so such that the their them then there these they this to us was we were will with you your".split())
+STOP_WORDS = frozenset("a i be he me we of am an in on do go to or as is us at it by my had add led did and see she the die are use ask him can ran win won run her for our has was his its sat get met set sit got not but cut put you saw pay say try buy lead read need died used paid said held hold told send find made make take came name come were lose gave have give live love move with walk took work feel call fall fell tell kill will seem them from been open turn stop hear your does goes this sets cuts puts that meet left wait felt sent went lost knew grew show know grow play stay they added tried asked lived loved moved build could would stand spend found stood heard spoke these those write wrote leave serve being bring reach watch speak think learn offer their reads built spent start allow needed walked worked called killed seemed opened turned waited served showed played stayed should change became become create happen remain appear expect bought follow changed reached watched learned stopped offered created started allowed provide include believe thought brought content provided included happened remained appeared expected believed followed continue remember consider articles products continued remembered considered understand understood".split())
 
 
 def text_fields(df: DataFrame, fields: list[str] | None) -> list[str]:
@@ -56,6 +56,21 @@ def words_of(text: Column, stop_words: frozenset[str] = STOP_WORDS) -> Column:
     return F.filter(words, lambda w: (F.octet_length(w) > 1) & ~w.isin(*sorted(stop_words)) if stop_words else F.octet_length(w) > 1)
 
 
+def _word_pattern(stop_words: frozenset[str]) -> str:
+    """An expression that matches once for each word that words_of gives."""
+    by: dict[str, list[str]] = {}
+    for w in sorted(stop_words):
+        by.setdefault(w[0], []).append(re.escape(w[1:]))
+    stops = "|".join(f"{re.escape(c)}(?:{'|'.join(rest)})" for c, rest in by.items())
+    none = rf"(?!(?:{stops})(?![\p{{L}}\p{{N}}_]))" if stops else ""
+    return rf"(?<![\p{{L}}\p{{N}}_]){none}(?:[\p{{L}}\p{{N}}_]{{2,}}+|[\p{{L}}\p{{N}}&&[^\x00-\x7F]])"
+
+
+def count_of(text: Column, word: str) -> Column:
+    """How often a word stands in a text in lower case."""
+    return F.regexp_count(text, F.lit(rf"(?<![\p{{L}}\p{{N}}_]){re.escape(word)}(?![\p{{L}}\p{{N}}_])"))
+
+
 def query_words(query: str, stop_words: frozenset[str] = STOP_WORDS) -> list[str]:
     return [w for w in re.findall(r"\w+", query.lower()) if len(w.encode()) > 1 and w not in stop_words]
 
@@ -72,18 +87,21 @@ def bm25(df: DataFrame, field: str, query: str, *, distance: int = 0, k1: float
     terms = query_words(query, stop_words)
     if not terms:
         return df.withColumn(score, F.lit(0.0)).limit(0)
-    words = words_of(F.coalesce(F.col(f"`{field}`"), F.lit("")), stop_words)
     if distance:
-        return _bm25_fuzzy(df, words, terms, distance, k1, b, score)
-    counted = df.withColumn("__w", words).withColumn("__n", F.size("__w"))
-    count = lambda t: F.size(F.filter("__w", lambda w: w == t))
-    tf = {t: count(t) for t in dict.fromkeys(terms)}
-    counted = counted.withColumns({f"__tf{i}": c for i, c in enumerate(tf.values())}).drop("__w")
-    stats = counted.agg(F.count(F.lit(1)).alias("__docs"), F.avg("__n").alias("__mean"), *(F.count_if(F.col(f"__tf{i}") > 0).alias(f"__df{i}") for i in range(len(tf))))
+        return _bm25_fuzzy(df, words_of(F.coalesce(F.col(f"`{field}`"), F.lit("")), stop_words), terms, distance, k1, b, score)
+    # Expressions count in compiled code what a list of words would be made for.  Lengths are needed of all rows once, and then of those that are found.
+    text = F.lower(F.coalesce(F.col(f"`{field}`"), F.lit("")))
+    length = F.regexp_count(text, F.lit(_word_pattern(stop_words)))
+    each = list(dict.fromkeys(terms))
+    stats = df.agg(F.count(F.lit(1)).alias("__docs"), F.avg(length).alias("__mean"), *(F.count_if(count_of(text, t) > 0).alias(f"__df{i}") for i, t in enumerate(each)))
+    any_of = F.lit(False)
+    for t in each:
+        any_of = any_of | F.contains(text, F.lit(t))
+    found = df.filter(any_of).withColumns({"__n": length, **{f"__tf{i}": count_of(text, t) for i, t in enumerate(each)}})
     total = F.lit(0.0)
-    for i, t in enumerate(tf):
+    for i, t in enumerate(each):
         total = total + terms.count(t) * _weight(F.col(f"__tf{i}"), F.col("__n"), F.col("__mean"), k1, b) * _idf(F.col(f"__df{i}"), F.col("__docs"))
-    return counted.crossJoin(F.broadcast(stats)).withColumn(score, total).filter(F.col(score) > 0).select(*df.columns, score)
+    return found.crossJoin(F.broadcast(stats)).withColumn(score, total).filter(F.col(score) > 0).select(*df.columns, score)
 
 
 def _idf(df: Column, docs: Column) -> Column:
@@ -127,3 +145,34 @@ def highlight(text: Column, query: str) -> Column:
         return text
     quoted = "|".join(re.sub(r"([^\w\s])", r"\\\1", t) for t in terms)
     return F.regexp_replace(text, f"(?i)({quoted})", "<mark>$1</mark>")
+
+
+# ---------------------------------------------------------------- a stored index
+
+POSTINGS = "word string, sid string, n long, length int"
+
+
+def lengths(df: DataFrame, field: str, sid: Column, stop_words: frozenset[str] = STOP_WORDS) -> DataFrame:
+    """(sid, words, length): the words of a text field of each row; a null text has none."""
+    text_fields(df, [field])
+    return df.select(sid.alias("sid"), words_of(F.coalesce(F.col(f"`{field}`"), F.lit("")), stop_words).alias("words")).withColumn("length", F.size("words"))
+
+
+def postings(counted: DataFrame) -> DataFrame:
+    """(word, sid, n, length) of what lengths gives."""
+    each = counted.select("sid", "length", F.explode("words").alias("word"))
+    return each.groupBy("word", "sid", "length").agg(F.count(F.lit(1)).alias("n")).select("word", "sid", "n", "length")
+
+
+def scored(index: DataFrame, query: str, docs: int, mean: float, *, k1: float = K1, b: float = B, stop_words: frozenset[str] = STOP_WORDS) -> DataFrame | None:
+    """(sid, _score) by BM25 for the rows with words of the query; None if it has none."""
+    terms = query_words(query, stop_words)
+    if not terms:
+        return None
+    mine = index.filter(F.col("word").isin(sorted(set(terms))))
+    df = {r["word"]: r["n"] for r in mine.groupBy("word").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each word of the query
+    share = F.lit(0.0)
+    for w, n in df.items():
+        share = F.when(F.col("word") == w, F.lit(float(terms.count(w))) * _idf(F.lit(n), F.lit(docs))).otherwise(share)
+    weight = _weight(F.col("n"), F.col("length"), F.lit(mean), k1, b)
+    return mine.groupBy("sid").agg(F.sum(weight * share).alias("_score")).filter("_score > 0")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import ValidationError
-from ..sources.shared import written
+from ..sources.shared import checked, written
 
 _FUNCTIONS = {"avg": F.avg, "sum": F.sum, "min": F.min, "max": F.max}
 #: Columns that may hold a row's time, in order of preference.
@@ -54,15 +54,12 @@ def rolling(df: DataFrame, columns: dict[str, tuple[str, str, int]], order: list
     block = max(BLOCK, 2 * halo)
     numbered = written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__n", F.monotonically_increasing_id()))
     part = F.shiftrightunsigned("__n", 33)
-    sizes = {r["p"]: r["n"] for r in numbered.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    first, at = {}, 0
-    for p in sorted(sizes):
-        first[p], at = at, at + sizes[p]
-    if not sizes:
-        w = Window.orderBy("__n")
-        return numbered.withColumns({a: _over(c, w) for a, c in columns.items()}).drop("__n")
-    offsets = F.create_map(*(F.lit(x) for p in first for x in (p, first[p])))
-    numbered = numbered.withColumn("__n", F.element_at(offsets, part) + F.col("__n").bitwiseAND(F.lit((1 << 33) - 1)))
+    # A row for each partition, with the rows before it.
+    sizes = numbered.groupBy(part.alias("__p")).agg(F.count(F.lit(1)).alias("__of"))
+    before = sizes.withColumn("__first", F.coalesce(F.sum("__of").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__of")
+    before = written(before)
+    numbered = numbered.withColumn("__p", part).join(checked(before, before.count(), 24), "__p")
+    numbered = numbered.withColumn("__n", F.col("__first") + F.col("__n").bitwiseAND(F.lit((1 << 33) - 1))).drop("__p", "__first")
     own = F.floor(F.col("__n") / block).cast("long")
     again = F.col("__n") % block >= block - halo if halo else F.lit(False)
     blocks = F.when(again, F.array(own, own + 1)).otherwise(F.array(own))

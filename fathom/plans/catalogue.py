@@ -247,6 +247,14 @@ def _(e: Engine) -> DataFrame:
     return _round6(e.search("documents").query(" ".join(_TERMS)).ranked("text")).select("doc_id", "_score")
 
 
+@_code("full_text_search", _bm25_sql(), "documents")
+def _(e: Engine) -> DataFrame:
+    return _round6(e.full_text_search("documents", "text", " ".join(_TERMS))).select("doc_id", "_score")
+
+
+_text("search_min_score", 'query { part(search: {query: "smal", fields: ["p_name"], fuzzy: true, minScore: 0.9}) { p_partkey _score } }', f"SELECT p_partkey, round({_FUZZY}, 6) AS _score FROM part WHERE {_FUZZY} >= 0.9", _round6, on=("part",))
+
+
 @_code("text_index", "SELECT word, p_partkey::VARCHAR AS sid, count(*) AS n FROM (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS word FROM part) GROUP BY ALL", "part")
 def _(e: Engine) -> DataFrame:
     return e.text_index("part", "p_name")
@@ -278,7 +286,7 @@ _text("inline_fragment", "query { customer { c_custkey ... on customer { c_name
 _text("include_skip", "query q($a: Boolean!, $b: Boolean = true) { customer { c_custkey c_name @include(if: $a) c_acctbal @skip(if: $b) } }", "SELECT c_custkey, c_name FROM customer", None, {"a": True}, on=("customer",))
 _text("variables", 'query q($min: Float!, $seg: [String] = ["BUILDING"], $n: Int = 30) { customer(where: {c_acctbal: {gt: $min}, c_mktsegment: {in: $seg}}, orderBy: {c_acctbal: DESC}, limit: $n) { c_custkey c_acctbal } }', "SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal > 100 AND c_mktsegment = 'BUILDING' ORDER BY c_acctbal DESC, c_custkey LIMIT 30", None, {"min": 100.0}, on=("customer",))
 _text("defer", "query { customer { c_custkey c_name @defer } }", "SELECT c_custkey FROM customer", on=("customer",))
-_text("explain", 'query @explain { customer(where: {c_mktsegment: {eq: "BUILDING"}}) { c_name } }', None, on=("customer",))
+_text("explain", 'query @explain { customer(where: {c_mktsegment: {eq: "BUILDING"}}) { c_name } }', "SELECT 'customer' AS collection, true AS has_filter", lambda df: df.select("collection", F.col("plan").contains("c_mktsegment,BUILDING").alias("has_filter")), on=("customer",))
 _text("introspect", "__schema { collections fields }", "SELECT * FROM (VALUES ('region', 'r_regionkey', 'Int'), ('region', 'r_name', 'String'), ('nation', 'n_nationkey', 'Int'), ('nation', 'n_name', 'String'), ('nation', 'n_regionkey', 'Int'), ('nation', 'zone', 'Int')) t(collection, name, type)", lambda df: df.select("collection", "name", "type"), on=("region", "nation"))
 
 
@@ -321,7 +329,7 @@ def _owned(e: Engine, source: str, name: str, fields: dict[str, str]) -> None:
     frame = tx.frames[name]
     casts = [F.col(f"`{n}`").cast(frame.schema[n].dataType).alias(n) for n in fields]
     key = c.sid(df.schema).column
-    tx.frames[name] = df.select(key.alias("_sid"), key.alias("id"), *casts)
+    tx.replace(name, df.select(key.alias("_sid"), key.alias("id"), *casts))
     e._commit(tx)
 
 
@@ -409,3 +417,103 @@ def _(e: Engine) -> DataFrame:
 
     e.execute('mutation { delete(collection: "land", where: {n_regionkey: {eq: 3}}) { id } }')
     return feed.subscription(e.changes(), e.catalog.get("land"), P.Leaf("n_name", "gt", "D"), [("n_name", "n_name")]).drop("seq")
+
+
+# ---------------------------------------------------------------- more of the engine's own tables
+
+_text("connection_cursors", 'query { orders(orderBy: {o_totalprice: DESC}, first: 5, after: "77") { edges { cursor } pageInfo { hasNextPage hasPreviousPage startCursor endCursor } } }', "WITH p AS (SELECT o_orderkey, o_totalprice FROM orders WHERE (o_totalprice, -o_orderkey) < (SELECT (o_totalprice, -o_orderkey) FROM orders WHERE o_orderkey = 77) ORDER BY o_totalprice DESC, o_orderkey LIMIT 6), q AS (SELECT *, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS i FROM p) SELECT count(*) > 5 AS more, true AS before, max(o_orderkey::VARCHAR) FILTER (i = 1) AS a, max(o_orderkey::VARCHAR) FILTER (i = least(5, (SELECT count(*) FROM p))) AS z FROM q", lambda df: df.select(F.col("pageInfo.hasNextPage").alias("more"), F.col("pageInfo.hasPreviousPage").alias("before"), F.col("pageInfo.startCursor").alias("a"), F.col("pageInfo.endCursor").alias("z")), on=("orders",))
+
+
+@_code("find_complex", "SELECT o_orderkey, o_totalprice FROM orders WHERE (o_orderstatus = 'F' OR o_totalprice > 400000) AND o_orderpriority <> '5-LOW' ORDER BY o_totalprice DESC, o_orderkey LIMIT 10 OFFSET 5", "orders")
+def _(e: Engine) -> DataFrame:
+    return e.find_complex("orders", {"or": [{"o_orderstatus": {"eq": "F"}}, {"o_totalprice": {"gt": 400000}}], "o_orderpriority": {"ne": "5-LOW"}}, order={"o_totalprice": "DESC"}, limit=10, offset=5).select("o_orderkey", "o_totalprice")
+
+
+@_nation("insert_many", f"{_ALL} UNION ALL VALUES (300::BIGINT, 'one', 1::BIGINT), (301::BIGINT, 'two', 2::BIGINT)")
+def _(e: Engine) -> Any:
+    return e.execute('mutation { insertMany(collection: "land", data: [{id: "300", n_nationkey: 300, n_name: "one", n_regionkey: 1}, {id: "301", n_nationkey: 301, n_name: "two", n_regionkey: 2}]) { id } }')
+
+
+@_nation("returned_rows", "SELECT n_nationkey::BIGINT AS n_nationkey, n_name AS label FROM nation WHERE n_regionkey = 1")
+def _(e: Engine) -> DataFrame:
+    return e.execute('mutation { delete(collection: "land", where: {n_regionkey: {eq: 1}}) { n_nationkey label: n_name } }').frame
+
+
+@_nation("search_by_value", f"{_ALL} WHERE n_regionkey = 3")
+def _(e: Engine) -> DataFrame:
+    e.create_index("land", "n_regionkey")
+    return e.search_by_value("land", "n_regionkey", 3).select("n_nationkey", "n_name", "n_regionkey")
+
+
+def _refused(e: Engine, *texts: str) -> DataFrame:
+    """How many texts are refused, beside the rows that stay as they were."""
+    from ..errors import ValidationError
+
+    n = 0
+    for t in texts:
+        try:
+            e.execute(t)
+        except ValidationError:
+            n += 1
+    return e.plan("query { land { n_nationkey n_name n_regionkey } }").withColumn("refused", F.lit(n))
+
+
+@_nation("foreign_keys", "SELECT *, 2 AS refused FROM (" + _ALL + ")")
+def _(e: Engine) -> DataFrame:
+    e.execute('schema { define collection town { id: ID land: String @relation(to: "land", key: "id") } }')
+    e.execute('mutation { insertInto(collection: "town", data: {id: "t", land: "3"}) { id } }')
+    return _refused(e, 'mutation { insertInto(collection: "town", data: {id: "u", land: "none"}) { id } }', 'mutation { update(collection: "town", data: {land: "no"}) { id } }', 'mutation { insertInto(collection: "town", data: {id: "v", land: "4"}) { id } }')
+
+
+@_nation("unique_keys", "SELECT *, 1 AS refused FROM (" + _ALL + ") UNION ALL VALUES (500::BIGINT, 'new', NULL::BIGINT, 1)")
+def _(e: Engine) -> DataFrame:
+    return _refused(e, 'mutation { insertInto(collection: "land", data: {id: "3", n_nationkey: 3}) { id } }', 'mutation { insertInto(collection: "land", data: {id: "500", n_nationkey: 500, n_name: "new"}) { id } }')
+
+
+@_nation("event_filters", "SELECT count(*) AS updates, count(*) FILTER (n_regionkey = 1) AS regions, count(*) FILTER (n_regionkey = 2) AS names FROM nation WHERE n_regionkey IN (1, 2)")
+def _(e: Engine) -> DataFrame:
+    from ..streaming import feed
+
+    e.execute('mutation { a: update(collection: "land", where: {n_regionkey: {eq: 1}}, data: {n_regionkey: 9}) { id } b: update(collection: "land", where: {n_regionkey: {eq: 2}}, data: {n_name: "x"}) { id } }')
+    events = feed.listen(e.changes(), e.catalog.get("land"))
+    return events.agg(F.count_if(feed.of_type("Update")).alias("updates"), F.count_if(feed.field_changed("n_regionkey")).alias("regions"), F.count_if(feed.watching(["n_name"]) & feed.of_type("Update")).alias("names"))
+
+
+@_nation("handlers", "SELECT n_nationkey::VARCHAR AS id, n_name AS who FROM nation WHERE n_regionkey = 4")
+def _(e: Engine) -> DataFrame:
+    e.execute("schema { define collection log { id: ID who: String } }")
+    e.execute('define handler "h" { on: "delete land", action: { insertInto(collection: "log", data: {id: $_id, who: $_n_name}) { id } } }')
+    e.execute('mutation { delete(collection: "land", where: {n_regionkey: {eq: 4}}) { id } }')
+    e.handlers.apply(e.changes())
+    return e.plan("query { log { id who } }")
+
+
+@_nation("jobs", "SELECT 'COMPLETED' AS status, count(*) AS n FROM nation WHERE n_nationkey < 4 UNION ALL SELECT 'DEAD', 1")
+def _(e: Engine) -> DataFrame:
+    from ..jobs import Queue
+
+    payloads = ", ".join(f"{{n: {i}}}" for i in range(4))
+    e.execute(f'mutation {{ a: enqueueJobs(jobType: "ok", payloads: [{payloads}]) {{ id }} b: enqueueJob(jobType: "bad", maxRetries: 1) {{ id }} }}')
+    queue = Queue(e)
+    queue.on("ok", lambda p: p["n"])
+    queue.on("bad", lambda p: p["n"])
+    queue.run()
+    return queue.stats()
+
+
+@_nation("export_import", _ALL)
+def _(e: Engine) -> DataFrame:
+    from ..sources.shared import shared_dir
+    import uuid
+
+    at = f"{shared_dir(e.spark).rstrip('/')}/fathom-export-{uuid.uuid4().hex}"
+    e.execute(f'mutation {{ export(collection: "land", format: JSON, path: "{at}") {{ id }} }}')
+    e.new_collection("copy", {"id": "ID", **_NATION})
+    e.import_json("copy", at)
+    return e.plan("query { copy { n_nationkey n_name n_regionkey } }")
+
+
+@_nation("drop_field", "SELECT n_nationkey::BIGINT AS n_nationkey, n_name FROM nation")
+def _(e: Engine) -> DataFrame:
+    e.execute("schema { alter collection land { drop n_regionkey } }")
+    return e.catalog.get("land").load().drop("_sid", "id")

@@ -15,9 +15,10 @@ from ..lang import ast
 from ..operators import predicates as P
 from ..operators import search, shapes, timeseries
 from ..sources.catalog import Catalog, Collection
+from ..sources.shared import checked
 from .spec import QuerySpec
 
-#: A limit up to this leaves so few rows that their keys may be broadcast.
+#: A limit up to this leaves so few rows that their keys may be broadcast, if they are of a fixed width; text keys are left to Spark, which measures them.
 FEW_ROWS = 100_000
 
 
@@ -250,7 +251,9 @@ class Compiler:
         if isinstance(kinds[0], T.StringType) != isinstance(kinds[1], T.StringType):
             left, right = left.withColumn(own, F.col(own).cast("string")), right.withColumn(key, F.col(key).cast("string"))
         if few:
-            right = right.join(F.broadcast(left.select(F.col(own).alias("__want")).distinct()), F.col(key) == F.col("__want"), "left_semi")
+            want = left.select(F.col(own).alias("__want")).distinct()
+            fixed = isinstance(left.schema[own].dataType, (T.NumericType, T.DatetimeType, T.BooleanType))
+            right = right.join(checked(want, FEW_ROWS, 16) if fixed else want, F.col(key) == F.col("__want"), "left_semi")
         inner = self.flatten(f.selections or [], other.name) or [ast.Field(n) for n in other.fields]
         outs: list[Column] = []
         for i, x in enumerate(inner):
@@ -276,7 +279,9 @@ class Compiler:
         """One row: edges, an array of (cursor, node), and pageInfo.  One row more than the page is read, to see whether there are more."""
         order = order or [(F.col(f"`{k}`"), False) for k in c.keys]
         size = spec.last if spec.last is not None else spec.limit
-        page = self.page(df, spec, order, 1 if size is not None else 0)
+        if size is None:
+            raise ValidationError("a connection is one row, so it needs first or last")
+        page = self.page(df, spec, order, 1)
         page = page.withColumn("__n", F.row_number().over(Window.orderBy(*self.sorts(order, spec.last is not None))))
         selections = spec.selections or []
         nodes = [n for e in selections if e.name == "edges" for x in self.flatten(e.selections or [], c.name) if x.name == "node" for n in self.flatten(x.selections or [], c.name)]
@@ -284,11 +289,11 @@ class Compiler:
         plain = [(f, f"__e{i}") for i, f in enumerate(nodes)]
         for f, name in plain:
             deeper = self.as_lookup(c, f)
-            rows = self.lookup(rows, c, deeper, name, size is not None and size <= FEW_ROWS) if deeper is not None else rows.withColumn(name, self.column(rows, c, f))
+            rows = self.lookup(rows, c, deeper, name, size <= FEW_ROWS) if deeper is not None else rows.withColumn(name, self.column(rows, c, f))
         place = F.col("__n") if spec.last is None else -F.col("__n")
         edge = F.struct(F.col("__cursor").alias("cursor"), F.struct(*(F.col(n).alias(f.out) for f, n in plain)).alias("node") if plain else F.lit(None).alias("node"))
-        inside = F.lit(True) if size is None else F.col("__n") <= size
-        more = F.lit(False) if size is None else F.coalesce(F.max("__n") > size, F.lit(False))
+        inside = F.col("__n") <= size
+        more = F.coalesce(F.max("__n") > size, F.lit(False))
         got = rows.agg(F.transform(F.array_sort(F.collect_list(F.when(inside, F.struct(place.alias("n"), edge.alias("edge"))))), lambda x: x["edge"]).alias("edges"), more.alias("more"))
         ends = F.when(F.size("edges") > 0, F.struct(F.element_at("edges", 1)["cursor"].alias("a"), F.element_at("edges", -1)["cursor"].alias("b")))
         backwards = spec.last is not None

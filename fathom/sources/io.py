@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import ValidationError
-from .shared import written
+from .shared import Files, written
 
 _CORRUPT = "_corrupt"
 
@@ -37,3 +37,13 @@ def export(df: DataFrame, path: str, format: str = "JSON") -> None:
 def read_blobs(spark: SparkSession, path: str) -> DataFrame:
     """(path, modificationTime, length, content) of the files of a folder."""
     return spark.read.format("binaryFile").load(path)
+
+
+def write_blob(spark: SparkSession, path: str, content: bytes) -> str:
+    """Writes one file, which no one sees until it is whole; its path.  A file of this name is an error."""
+    folder, _, name = path.rpartition("/")
+    files = Files(spark, folder or ".")
+    files.make()
+    if not files.create(name, content):
+        raise ValidationError(f"{path} exists")
+    return path

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from itertools import islice
 from typing import TYPE_CHECKING, Any
 
 from pyspark.sql import DataFrame
@@ -14,6 +15,8 @@ from ..lang import ast, bind
 if TYPE_CHECKING:
     from ..engine import Engine
 
+#: Events whose actions are one commit.
+BATCH = 1000
 _KINDS = {"insert": "Insert", "update": "Update", "delete": "Delete"}
 
 
@@ -34,22 +37,46 @@ class Handlers:
         self.by_name[h.name] = (_KINDS.get(word.lower()), collection.strip(), h.action)
 
     def apply(self, batch: DataFrame) -> int:
-        """Runs the actions of a batch of events, one event after the other; each action is one commit."""
-        from ..engine import Options
-
+        """Runs the actions of a batch of events in their order; of each handler BATCH of them are one commit, and insertions in a row one mutation."""
         done = 0
         for kind, collection, action in self.by_name.values():
             if kind is None:
                 continue
             hit = batch.filter((F.col("change_type") == kind) & ((F.col("collection") == collection) | F.lit(collection in ("", "*"))))
-            for e in hit.orderBy("seq", "sid").toLocalIterator():
-                document = json.loads(e["document"] or e["old_document"] or "{}")
-                given = {"_id": e["sid"], **{f"_{k}": v for k, v in document.items()}}
-                roots = bind.flatten([action], {}, given, None, lambda _: True)
-                self.engine._mutation(roots, given, lambda s, on, given=given: bind.flatten(s, {}, given, on, lambda _: True), Options())
-                done += 1
+            events = hit.orderBy("seq", "sid").toLocalIterator()
+            while some := list(islice(events, BATCH)):
+                self._run(action, some)
+                done += len(some)
         return done
 
+    def _run(self, action: ast.Field, events: list) -> None:
+        from ..engine import Options, Transaction
+
+        tx = Transaction(self.engine)
+        rows: list = []
+        held: tuple[ast.Field, Any] | None = None
+
+        def flush() -> None:
+            if rows and held is not None:
+                f, flat = held
+                bind.authorize(f.directives, {}, None, set(), "write")
+                self.engine._insert(tx, f, str(f.args["collection"]), list(rows), flat, Options())
+                rows.clear()
+
+        for e in events:
+            document = json.loads(e["document"] or e["old_document"] or "{}")
+            given = {"_id": e["sid"], **{f"_{k}": v for k, v in document.items()}}
+            flat = lambda s, on, given=given: bind.flatten(s, {}, given, on, lambda _: True)
+            for f in bind.flatten([action], {}, given, None, lambda _: True):
+                if f.name in ("insert", "insertInto") and isinstance(f.args.get("data"), dict) and "collection" in f.args:
+                    held = f, flat
+                    rows.append(f.args["data"])
+                else:
+                    flush()
+                    self.engine._mutate(tx, f, given, flat, Options())
+        flush()
+        self.engine._commit(tx)
+
     def start(self, checkpoint: str, *, available_now: bool = False, **options: Any) -> Any:
         """Runs the handlers as changes come."""
         writer = self.engine.store.stream(**options).writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda b, _: self.apply(b))
