@@ -23,7 +23,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage; each stage is written as Parquet to the shared folder, where the next one reads it."""
+    """The rows of the last stage; each stage is written as Parquet to the shared folder, where the next one reads it.
+
+    Null and empty texts go with language ID; documents of which line dedup leaves
+    nothing go with it; of repeated ids and rows each is treated by its text, so equal
+    ones leave one; further columns pass through all stages but the last, whatever
+    their names; an empty table gives no rows.
+    """
     scratch = Scratch(spark)
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
