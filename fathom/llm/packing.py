@@ -131,14 +131,12 @@ def _aim(steps: list[tuple[int, int, int, int, int]]):
 
 def _round(open_: DataFrame, rows: int, capacity: int, sweep_rows: int, name: str, scratch: Scratch) -> DataFrame:
     """One superstep over pieces that wait and bins with gaps: what is placed, what waits, and the gaps after it."""
-    ranges = max(1, -(-rows // sweep_rows))
+    ranges = -(-rows // sweep_rows)
     order = ["size", "kind", "tie", "id", "bin"]
     ranked = open_.select("kind", "id", "bin", "size").withColumn("tie", F.xxhash64("id", "bin"))
-    by_size = (ranked.repartitionByRange(ranges, *order) if ranges > 1 else ranked.coalesce(1)).sortWithinPartitions(*order)
+    by_size = ranked.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
     swept = by_size.withColumn("part", F.spark_partition_id()).select("kind", "id", "bin", "size", "part").mapInArrow(_sweep(capacity), _STATE)
     swept = scratch.write(f"{name}_swept", swept)
-    if ranges == 1:
-        return swept
     counts = swept.filter("rank IS NOT NULL").groupBy("part", "kind").count().collect()
     steps = across({r["part"]: r["count"] for r in counts if r["kind"] == WAITING}, {r["part"]: r["count"] for r in counts if r["kind"] == GAP})
     if not steps:
@@ -154,6 +152,49 @@ def _round(open_: DataFrame, rows: int, capacity: int, sweep_rows: int, name: st
     return out.unionByName(both.filter("id IS NULL OR bin IS NULL").select(F.when(F.col("id").isNull(), GAP).otherwise(WAITING).alias("kind"), "id", "bin", F.coalesce("size", "gap").alias("size"), none("int").alias("at")))
 
 
+def _tie(bins: np.ndarray) -> np.ndarray:
+    """Spark's xxhash64(null, bin)."""
+    p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turn = lambda x, n: (x << np.uint64(n)) | (x >> np.uint64(64 - n))
+    h = (np.uint64(42 + 8) + p5) ^ (turn(bins.astype(np.int64).view(np.uint64) * p2, 31) * p1)
+    h = turn(h, 27) * p1 + p4
+    h = (h ^ (h >> np.uint64(33))) * p2
+    h = (h ^ (h >> np.uint64(29))) * p3
+    return (h ^ (h >> np.uint64(32))).view(np.int64)
+
+
+def _rest(capacity: int, next_bin: int):
+    """All rounds that are left, where one task holds all that is open: what each round of pack does, on arrays, until no piece waits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        g = pa.Table.from_batches(held).combine_chunks()
+        kind, size, bins, tie = (pc.fill_null(g.column(c), 0).to_numpy() for c in ("kind", "size", "bin", "tie"))
+        ids, row, fresh_bin = g.column("id"), np.arange(g.num_rows), next_bin
+        while (waits := kind == WAITING).any():
+            hist = lambda on: {int(s): int(n) for s, n in zip(*np.unique(size[on], return_counts=True), strict=True)}  # noqa: B023, E731
+            fresh = new_bins(hist(waits), hist(~waits), capacity)
+            keep = waits | (size >= size[waits].min())
+            opened = np.arange(fresh_bin, fresh_bin + fresh)
+            fresh_bin += fresh
+            kind = np.concatenate([kind[keep], np.full(fresh, GAP, kind.dtype)])
+            size = np.concatenate([size[keep], np.full(fresh, capacity, size.dtype)])
+            bins, tie, row = np.concatenate([bins[keep], opened]), np.concatenate([tie[keep], _tie(opened)]), np.concatenate([row[keep], np.full(fresh, -1)])
+            order = np.lexsort((tie, kind, size))  # stable, and pieces came in order of their ids
+            kind, size, bins, tie, row = (x[order] for x in (kind, size, bins, tie, row))
+            p, q, _, _ = matched(kind)
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(row[p])).combine_chunks(), pa.array(bins[q]), pa.array((capacity - size[q]).astype(np.int32))], ["id", "bin", "at"])
+            size[q] -= size[p]
+            left = np.ones(len(kind), bool)
+            left[p] = False
+            left[q] = size[q] > 0
+            kind, size, bins, tie, row = (x[left] for x in (kind, size, bins, tie, row))
+
+    return run
+
+
 def _strings(pieces: DataFrame, capacity: int, string_rows: int) -> DataFrame:
     """pieces (id, size) with `string`, the id of what a small one is strung to, and `offset` in it; null for the others.
 
@@ -191,7 +232,8 @@ def pack(docs: DataFrame, *, capacity: int = CAPACITY, model: str = spm.MODEL, s
     is matched across their borders by the same sweep over counts, and joined by rank.
     Of pieces that want the same gap the last in rank (size, then a hash of the piece)
     has it; each gap takes one piece, is updated, and the next round follows.  Pieces
-    longer than any gap get as many new bins as their sizes need.  Pieces of at most capacity / 32 are strung together first, equal sizes with
+    longer than any gap get as many new bins as their sizes need.  Once all that is open
+    fits one range, one task runs the rounds that are left.  Pieces of at most capacity / 32 are strung together first, equal sizes with
     each other, up to capacity / 16.  The result is the same for any number of ranges
     and partitions.
 
@@ -226,17 +268,23 @@ def pack(docs: DataFrame, *, capacity: int = CAPACITY, model: str = spm.MODEL, s
         if not waiting:
             break
         fresh = new_bins(waiting, gaps, capacity)
-        n_waiting = sum(waiting.values())
-        open_ = state.filter(F.col("kind") != PLACED)
+        open_ = state.filter(F.col("kind") != PLACED).select("kind", "id", "bin", "size", "at")
+        # A gap that no piece can use any more waits no longer.
+        least = min(waiting)
+        open_ = open_.filter((F.col("kind") == WAITING) | (F.col("size") >= least))
+        rows = sum(waiting.values()) + fresh + sum(n for s, n in gaps.items() if s >= least)
+        if rows <= sweep_rows:
+            # From here on a round is one task, so all that are left are one job; the driver keeps no plan for each.
+            ranked = open_.select("kind", "id", "bin", "size", F.xxhash64("id", "bin").alias("tie")).coalesce(1).sortWithinPartitions("size", "kind", "tie", "id", "bin")
+            done.append(scratch.write("rest", ranked.mapInArrow(_rest(capacity, next_bin), "id string, bin long, at int")))
+            # No piece opens more than one bin.
+            next_bin += sum(waiting.values())
+            break
         if fresh:
             opened = spark.range(next_bin, next_bin + fresh).select(F.lit(GAP).alias("kind"), none("string").alias("id"), F.col("id").alias("bin"), F.lit(capacity).alias("size"), none("int").alias("at"))
-            open_ = open_.select("kind", "id", "bin", "size", "at").unionByName(opened)
+            open_ = open_.unionByName(opened)
             next_bin += fresh
         round_ += 1
-        # A gap that no piece can use any more waits no longer.
-        least = min(waiting)
-        open_ = open_.filter((F.col("kind") == WAITING) | (F.col("size") >= least))
-        rows = n_waiting + fresh + sum(n for s, n in gaps.items() if s >= least)
         state = _round(open_, rows, capacity, sweep_rows, f"r{round_}", scratch)
         done.append(state.filter(F.col("kind") == PLACED).select("id", "bin", "at"))
     ended = whole.select("doc_id", "piece", (next_bin + F.monotonically_increasing_id()).alias("bin"), F.lit(0).alias("at"), "size")

@@ -127,6 +127,18 @@ def test_many_small_documents_take_few_rounds(make, codec, monkeypatch):
     assert len(rounds) <= 20 and n <= 1.1 * math.ceil(20_000 * sizes(codec, "a") / P.CAPACITY) + 1
 
 
+def test_rounds_within_one_range_are_one_job(spark, documents, monkeypatch):
+    """A table is written for each round of several ranges only; the driver kept a job and a plan for each round."""
+    names = []
+    real = P.Scratch.write
+    monkeypatch.setattr(P.Scratch, "write", lambda self, name, df: names.append(name) or real(self, name, df))
+    P.pack(documents)
+    assert len(names) <= 4
+    bins = np.array([0, 1, 7, 1 << 40, 12345])
+    want = [r[0] for r in spark.createDataFrame([(int(b),) for b in bins], "bin long").selectExpr("xxhash64(CAST(NULL AS STRING), bin)").collect()]
+    assert P._tie(bins).tolist() == want
+
+
 def test_query_and_its_sequences(spark, sf, documents, codec):
     rows = [(r.doc_id, r.text) for r in documents.collect()]
     places = P.op3_best_fit_packing(spark, sf)
