@@ -41,11 +41,21 @@ def sentences(text: Column) -> Column:
     return F.array_distinct(F.transform(F.filter(F.split(words, r" ?[.!?\n][ .!?\n]*"), lambda s: F.trim(s) != ""), lambda s: F.xxhash64(F.trim(s))))
 
 
+def _bytes(fingerprints: Column) -> Column:
+    """Fingerprints in hexadecimal as one binary of 16 bytes each: all of an MD5 at half its width, without an offset for each."""
+    return F.unhex(F.array_join(fingerprints, ""))
+
+
+def _split(b: bytes) -> list[bytes]:
+    return [b[i : i + 16] for i in range(0, len(b), 16)]
+
+
 def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Descends two trees: sections that the other lacks, and in these the paragraphs that it lacks, both ways."""
     for b in batches:
         out: list[tuple[int, str, str, str]] = []
         for row in b.to_pylist():
+            row |= {c: _split(row[c]) for c in ("leaves", "leaves0", "sections", "sections0")}
             spans = list(zip(row["starts"], [*row["starts"][1:], len(row["leaves"]) + 1], row["sections"], strict=True))
             spans0 = list(zip(row["starts0"], [*row["starts0"][1:], len(row["leaves0"]) + 1], row["sections0"], strict=True))
             known, known0, has, has0 = set(row["sections"]), set(row["sections0"]), set(row["leaves"]), set(row["leaves0"])
@@ -78,7 +88,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession)
     rows = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), scratch)
-    t = scratch.write("trees", trees(rows).withColumn("sentences", sentences(F.col("text"))).drop("text"))
+    t = trees(rows).withColumns({"n_paragraphs": F.coalesce(F.size("leaves"), F.lit(0)), "n_sections": F.coalesce(F.size("sections"), F.lit(0))})
+    t = t.withColumns({"leaves": _bytes(F.col("leaves")), "sections": _bytes(F.col("sections")), "sentences": sentences(F.col("text"))})
+    t = scratch.write("trees", t.drop("text"))
     # Who comes first is an aggregate that combines before its shuffle, and the joins with it are split where a key is hot.
     equal = t.groupBy("root").agg(F.min("__key").alias("first"), F.count("root").alias("n")).filter("n > 1").select("root", "first")
     equal = scratch.write("equal", t.select("__key", "root").join(equal, "root").filter("first < __key").select("__key", F.col("first").alias("owner")))
@@ -95,7 +107,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     none = F.lit("")
     chosen = chosen.unionByName(equal.select("__key", "owner", F.lit(None).cast("long").alias("n_shared"), none.alias("changed_sections"), none.alias("changed_paragraphs"), none.alias("removed_paragraphs"), F.lit(True).alias("same")))
     chosen = chosen.join(t.select(F.col("__key").alias("owner"), F.col("doc_id").alias("base")), "owner")
-    out = t.select("__key", "doc_id", "root", F.coalesce(F.size("leaves"), F.lit(0)).alias("n_paragraphs"), F.coalesce(F.size("sections"), F.lit(0)).alias("n_sections"), F.size("sentences").cast("long").alias("n_sentences"))
+    out = t.select("__key", "doc_id", "root", "n_paragraphs", "n_sections", F.size("sentences").cast("long").alias("n_sentences"))
     shares = F.when(F.col("same"), F.col("n_sentences")).otherwise(F.col("n_shared")).alias("n_shared")
     return out.join(chosen, "__key", "left").select("doc_id", "root", "n_paragraphs", "n_sections", "base", "same", shares, "changed_sections", "changed_paragraphs", "removed_paragraphs")
 

@@ -98,6 +98,19 @@ def test_documents_of_one_paragraph(make):
     assert got[3].base is None
 
 
+def test_fingerprints_travel_as_bytes(make, monkeypatch):
+    """Of each paragraph 16 bytes are written and shuffled; hexadecimal, which shuffles don't compress, took 32 and an offset."""
+    written = {}
+    real = M.Scratch.write
+    monkeypatch.setattr(M.Scratch, "write", lambda self, name, df: written.setdefault(name, real(self, name, df)))
+    text = "\n".join(f"paragraph {i}" for i in range(50))
+    M.fingerprints(make([(1, text), (2, None)]))
+    got = {r["__key"]: r for r in written["trees"].collect()}
+    leaves, sections, _ = tree(text)
+    assert (got[1].leaves, got[1].sections) == (bytes.fromhex("".join(leaves)), bytes.fromhex("".join(sections)))
+    assert (got[2].leaves, got[2].n_paragraphs) == (None, 0)
+
+
 def test_a_sentence_of_all_documents(make):
     rows = [(i, f"Document number {i} of many.\nAll rights reserved.\nIts own words {i}.") for i in range(3000)]
     got = {r.doc_id: r for r in M.fingerprints(make(rows)).collect()}
