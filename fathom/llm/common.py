@@ -257,15 +257,18 @@ def unique_in(where: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def jaccard(a: pa.Array, b: pa.Array, words: int) -> np.ndarray:
-    """Exact Jaccard similarity, pair by pair, of the sets of shingles of so many words of two arrays of texts."""
-    (wa, ha), (wb, hb) = (unique_in(*shingles(x, words)) for x in (a, b))
+    """Exact Jaccard similarity, pair by pair, of the sets of shingles of so many words of two arrays of texts; a text that comes in several pairs is cut once."""
     n = len(a)
-    na, nb = np.bincount(wa, minlength=n), np.bincount(wb, minlength=n)
-    w, h = np.concatenate([wa, wb]), np.concatenate([ha, hb])
-    order = np.lexsort((h, w))
-    w, h = w[order], h[order]
-    both = np.bincount(w[1:][(w[1:] == w[:-1]) & (h[1:] == h[:-1])], minlength=n) if len(w) else np.zeros(n, int)
-    return both / np.maximum(na + nb - both, 1)
+    coded = pa.concat_arrays([a, b]).dictionary_encode(null_encoding="encode")
+    code = coded.indices.to_numpy()
+    w, h = unique_in(*shingles(coded.dictionary, words))
+    size = np.bincount(w, minlength=len(coded.dictionary)).astype(np.int64)
+    begin, m = (np.cumsum(size) - size)[code], size[code]
+    h = h[np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m) + np.repeat(begin, m)]
+    w = np.repeat(np.tile(np.arange(n), 2), m)
+    # Each shingle is there once for each text of a pair; those of both are gone after unique_in.
+    both = m[:n] + m[n:] - np.bincount(unique_in(w, h)[0], minlength=n)
+    return both / np.maximum(m[:n] + m[n:] - both, 1)
 
 
 def shingles(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:

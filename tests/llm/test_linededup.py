@@ -4,8 +4,10 @@ import re
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from fathom.llm import common
 from fathom.llm import linededup as L
 
 from .conftest import EDGES
@@ -94,6 +96,21 @@ def test_a_line_of_every_document(make):
     assert all(r.text == f"Own words of {k} here {k * 7}" for k, r in got.items() if k > 2)
 
 
+def test_a_line_of_many_pairs_is_cut_once(monkeypatch):
+    """Pairs are verified on the words of each distinct line, and by the same similarity as one pair at a time."""
+    cut = []
+    real = common.shingles
+    monkeypatch.setattr(common, "shingles", lambda texts, n: cut.append(len(texts)) or real(texts, n))
+    rng = np.random.default_rng(4)
+    lines = [*(" ".join(rng.choice([f"w{i}" for i in range(9)], int(rng.integers(1, 12)))) for _ in range(30)), "", "...", None]
+    pairs = [(lines[i], lines[j]) for i in range(len(lines)) for j in range(len(lines))]
+    got = common.jaccard(*(pa.array(x, pa.string()) for x in zip(*pairs, strict=True)), 1)
+    sets = [(words(a or ""), words(b or "")) for a, b in pairs]
+    assert got.tolist() == [len(a & b) / max(1, len(a | b)) for a, b in sets]
+    assert sum(cut) <= len(lines)
+    assert len(common.jaccard(pa.array([], pa.string()), pa.array([], pa.string()), 1)) == 0
+
+
 @pytest.mark.parametrize("t", [0.5, 0.8, 0.9, 1.0])
 def test_sets_too_small_to_resemble_others(t):
     least = L.least_joined(t)
