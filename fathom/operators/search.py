@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import ValidationError
+from ..sources.shared import checked, written
 
 K1, B = 1.2, 0.75
 #: Idf never falls below this.
@@ -75,33 +76,50 @@ def query_words(query: str, stop_words: frozenset[str] = STOP_WORDS) -> list[str
     return [w for w in re.findall(r"\w+", query.lower()) if len(w.encode()) > 1 and w not in stop_words]
 
 
-def bm25(df: DataFrame, field: str, query: str, *, distance: int = 0, k1: float = K1, b: float = B, stop_words: frozenset[str] = STOP_WORDS, score: str = "_score") -> DataFrame:
+def bm25(df: DataFrame, field: str, query: str, *, key: Column | None = None, distance: int = 0, k1: float = K1, b: float = B, stop_words: frozenset[str] = STOP_WORDS, score: str = "_score") -> DataFrame:
     """Rows with words of the query in a text field, scored by BM25; a word that the query repeats counts as often.
 
     With a distance, each word of the texts within it of a word of the query counts,
     divided by 1 + 0.3 times its distance.  Statistics are of all rows of df.  The
     one row of totals and document frequencies is all that leaves the scan: its size
-    is that of the query, or of the query's neighbours in the vocabulary.
+    is that of the query, or of the query's neighbours in the vocabulary.  With a key,
+    texts are read once, and what was counted is joined back by it, unless some rows
+    have the same key or none.
     """
     text_fields(df, [field])
     terms = query_words(query, stop_words)
     if not terms:
         return df.withColumn(score, F.lit(0.0)).limit(0)
     if distance:
-        return _bm25_fuzzy(df, words_of(F.coalesce(F.col(f"`{field}`"), F.lit("")), stop_words), terms, distance, k1, b, score)
-    # Expressions count in compiled code what a list of words would be made for.  Lengths are needed of all rows once, and then of those that are found.
+        return _bm25_fuzzy(df, words_of(F.coalesce(F.col(f"`{field}`"), F.lit("")), stop_words), terms, key, distance, k1, b, score)
+    # Expressions count in compiled code what a list of words would be made for.
     text = F.lower(F.coalesce(F.col(f"`{field}`"), F.lit("")))
-    length = F.regexp_count(text, F.lit(_word_pattern(stop_words)))
     each = list(dict.fromkeys(terms))
-    stats = df.agg(F.count(F.lit(1)).alias("__docs"), F.avg(length).alias("__mean"), *(F.count_if(count_of(text, t) > 0).alias(f"__df{i}") for i, t in enumerate(each)))
-    any_of = F.lit(False)
-    for t in each:
-        any_of = any_of | F.contains(text, F.lit(t))
-    found = df.filter(any_of).withColumns({"__n": length, **{f"__tf{i}": count_of(text, t) for i, t in enumerate(each)}})
+    tf = {f"__tf{i}": F.when(F.contains(text, F.lit(t)), count_of(text, t)).otherwise(0) for i, t in enumerate(each)}
+    counted, once = _counted(df, {"__n": F.regexp_count(text, F.lit(_word_pattern(stop_words))), **tf}, key)
+    stats = counted.agg(F.count(F.lit(1)).alias("__docs"), F.avg("__n").alias("__mean"), *(F.count_if(F.col(c) > 0).alias(f"__df{i}") for i, c in enumerate(tf)))
+    found = counted.filter(F.greatest(*tf, F.lit(0)) > 0)
     total = F.lit(0.0)
     for i, t in enumerate(each):
         total = total + terms.count(t) * _weight(F.col(f"__tf{i}"), F.col("__n"), F.col("__mean"), k1, b) * _idf(F.col(f"__df{i}"), F.col("__docs"))
-    return found.crossJoin(F.broadcast(stats)).withColumn(score, total).filter(F.col(score) > 0).select(*df.columns, score)
+    return _back(df, found.crossJoin(F.broadcast(stats)).withColumn(score, total).filter(F.col(score) > 0), key if once else None, score)
+
+
+def _counted(df: DataFrame, counts: dict[str, Column], key: Column | None) -> tuple[DataFrame, bool]:
+    """Counts of each row with its key as __sid, written by one pass over df, and True; df with the counts, and False, where keys don't tell its rows apart."""
+    if key is not None:
+        once = written(df.select(key.alias("__sid"), *(c.alias(n) for n, c in counts.items())))
+        if not once.groupBy("__sid").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 OR __sid IS NULL").take(1):
+            return once, True
+    return df.withColumns(counts), False
+
+
+def _back(df: DataFrame, scored: DataFrame, key: Column | None, score: str) -> DataFrame:
+    """The columns of df with the score, out of rows that are scored by the key if there is one, else whole."""
+    if key is not None:
+        scored = scored.select("__sid", score)
+        scored = df.withColumn("__sid", key).join(checked(scored, scored.count(), 64), "__sid")
+    return scored.select(*df.columns, score)
 
 
 def _idf(df: Column, docs: Column) -> Column:
@@ -112,10 +130,10 @@ def _weight(tf: Column, n: Column, mean: Column, k1: float, b: float) -> Column:
     return tf * (k1 + 1) / (tf + k1 * (1 - b + b * n / F.when(mean > 0, mean).otherwise(1.0)))
 
 
-def _bm25_fuzzy(df: DataFrame, words: Column, terms: list[str], distance: int, k1: float, b: float, score: str) -> DataFrame:
+def _bm25_fuzzy(df: DataFrame, words: Column, terms: list[str], key: Column | None, distance: int, k1: float, b: float, score: str) -> DataFrame:
     near = lambda w: [F.levenshtein(w, F.lit(t), distance) for t in terms]
     any_near = lambda w: F.array_max(F.array(*near(w))) >= 0
-    counted = df.withColumn("__w", words).withColumn("__n", F.size("__w")).withColumn("__w", F.filter("__w", any_near))
+    counted, once = _counted(df, {"__n": F.size(words), "__w": F.filter(words, any_near)}, key)
     totals = counted.agg(F.count(F.lit(1)).alias("__docs"), F.avg("__n").alias("__mean"))
     frequencies = counted.select(F.explode(F.array_distinct("__w")).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("df"))
     # One row that grows with the query's neighbours in the vocabulary, so whether it is broadcast is left to its measured size.
@@ -128,7 +146,7 @@ def _bm25_fuzzy(df: DataFrame, words: Column, terms: list[str], distance: int, k
         return _weight(tf, F.col("__n"), F.col("__mean"), k1, b) * _idf(F.element_at("__df", w), F.col("__docs")) * closeness
 
     total = F.aggregate(F.transform(F.array_distinct("__w"), of), F.lit(0.0), lambda a, x: a + x)
-    return joined.withColumn(score, total).filter(F.col(score) > 0).select(*df.columns, score)
+    return _back(df, joined.withColumn(score, total).filter(F.col(score) > 0), key if once else None, score)
 
 
 def inverted_index(df: DataFrame, field: str, sid: Column, stop_words: frozenset[str] = STOP_WORDS) -> DataFrame:

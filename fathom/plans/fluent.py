@@ -140,7 +140,8 @@ class SearchBuilder:
         if self.names and field not in self.names:
             raise ValidationError(f"{field} isn't among the fields")
         c = self.engine.catalog.get(self.collection)
-        return self._best(search.bm25(c.frame(), field, self.text, distance=self.distance or 0), c, True)
+        df = c.frame()
+        return self._best(search.bm25(df, field, self.text, key=c.sid(df.schema).column, distance=self.distance or 0), c, True)
 
     def _best(self, df: DataFrame, c: Any, scored: bool) -> DataFrame:
         if scored and self.least is not None:
