@@ -304,11 +304,11 @@ class Engine:
         """Stores the words of a text field with the rows that hold them, sorted by word, and what BM25 needs to know of all rows."""
         c = self.catalog.get(collection)
         df = c.frame()
-        counted = written(search.lengths(df, name, c.sid(df.schema).column))
-        docs, mean = counted.agg(F.count(F.lit(1)), F.avg("length")).first()
-        postings = search.postings(counted).repartitionByRange("word", "sid").sortWithinPartitions("word", "sid")
+        # Files are sorted each by itself: a search skips the pages without its words in each of them.
+        files = self.store.write("_text", search.postings(df, name, c.sid(df.schema).column).sortWithinPartitions("word"))
+        docs, mean = self.store.read(files, search.POSTINGS).filter(F.col("word") == search.WHOLE).agg(F.count(F.lit(1)), F.avg("length")).first()
         state = copy.deepcopy(self.store.state)
-        state.setdefault("indexes", {})[f"{collection}.{name}"] = {"files": self.store.write("_text", postings), "docs": docs, "mean": mean, "of": self._files(collection)}
+        state.setdefault("indexes", {})[f"{collection}.{name}"] = {"files": files, "docs": docs, "mean": mean, "of": self._files(collection)}
         self.store.commit(state, None)
 
     def _files(self, collection: str) -> list[str] | None:

@@ -167,19 +167,22 @@ def highlight(text: Column, query: str) -> Column:
 
 # ---------------------------------------------------------------- a stored index
 
-POSTINGS = "word string, sid string, n long, length int"
+#: A row for each time that a word stands in a row, with that row's number of words.
+POSTINGS = "word string, sid string, length int"
+#: Stands in the index for the whole of a row; no word is empty.
+WHOLE = ""
 
 
-def lengths(df: DataFrame, field: str, sid: Column, stop_words: frozenset[str] = STOP_WORDS) -> DataFrame:
-    """(sid, words, length): the words of a text field of each row; a null text has none."""
-    text_fields(df, [field])
-    return df.select(sid.alias("sid"), words_of(F.coalesce(F.col(f"`{field}`"), F.lit("")), stop_words).alias("words")).withColumn("length", F.size("words"))
-
+def postings(df: DataFrame, field: str, sid: Column, stop_words: frozenset[str] = STOP_WORDS) -> DataFrame:
+    """POSTINGS of a text field, and one of WHOLE for each row, also of a null text, which has no words.
 
-def postings(counted: DataFrame) -> DataFrame:
-    """(word, sid, n, length) of what lengths gives."""
-    each = counted.select("sid", "length", F.explode("words").alias("word"))
-    return each.groupBy("word", "sid", "length").agg(F.count(F.lit(1)).alias("n")).select("word", "sid", "n", "length")
+    Each row gives its own, so nothing is shuffled; equal ones lie together once they
+    are sorted by word, and are counted where a query asks for them.
+    """
+    text_fields(df, [field])
+    words = words_of(F.coalesce(F.col(f"`{field}`"), F.lit("")), stop_words)
+    counted = df.select(sid.alias("sid"), words.alias("words")).withColumn("length", F.size("words"))
+    return counted.select(F.explode(F.concat(F.array(F.lit(WHOLE)), "words")).alias("word"), "sid", "length")
 
 
 def scored(index: DataFrame, query: str, docs: int, mean: float, *, k1: float = K1, b: float = B, stop_words: frozenset[str] = STOP_WORDS) -> DataFrame | None:
@@ -187,7 +190,7 @@ def scored(index: DataFrame, query: str, docs: int, mean: float, *, k1: float =
     terms = query_words(query, stop_words)
     if not terms:
         return None
-    mine = index.filter(F.col("word").isin(sorted(set(terms))))
+    mine = index.filter(F.col("word").isin(sorted(set(terms)))).groupBy("word", "sid", "length").agg(F.count(F.lit(1)).alias("n"))
     df = {r["word"]: r["n"] for r in mine.groupBy("word").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each word of the query
     share = F.lit(0.0)
     for w, n in df.items():

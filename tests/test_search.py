@@ -40,3 +40,32 @@ def test_ranked_keeps_rows_whose_keys_repeat(spark, docs, distance):
     got = (q.fuzzy(distance) if distance else q).ranked("text").collect()
     assert sorted(map(repr, got)) == sorted(map(repr, search.bm25(twice, "text", "rust", distance=distance).collect()))
     assert sum(r["id"] == 1 for r in got) == 2 and sum(r["id"] is None for r in got) == 1
+
+
+def test_index_shuffles_no_words(spark):
+    texts = [(i, " ".join(f"word{(i * j) % 211}" for j in range(300))) for i in range(20)]
+    e = Engine(spark)
+    e.register("texts", spark.createDataFrame(texts, "id long, text string").coalesce(2), "id")
+    sc = spark.sparkContext
+    sc.setJobGroup("index", "")
+    try:
+        e.create_text_index("texts", "text")
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    tracker, store = sc.statusTracker(), sc._jsc.sc().statusStore()
+    stages = {s for j in tracker.getJobIdsForGroup("index") for s in tracker.getJobInfo(j).stageIds}
+    rows = [store.lastStageAttempt(s) for s in stages]
+    assert sum(r.outputRecords() for r in rows) > 1000
+    # All that is shuffled is the partial totals.
+    assert sum(r.shuffleWriteRecords() for r in rows) <= 8
+
+
+def test_full_text_search_scores_as_bm25(spark, docs):
+    e = Engine(spark)
+    e.register("docs", docs, "id")
+    query = "Rust headphones rust the such é"
+    got = e.full_text_search("docs", "text", query)
+    rounded = lambda df: {(r["id"], r["text"], round(r["_score"], 9)) for r in df.collect()}
+    assert rounded(got) == rounded(search.bm25(docs, "text", query)) and got.count() == 5
+    assert e.full_text_search("docs", "text", "nowhere").count() == 0
